@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from graphloom.llm import bpe, langid, line_crf, mixing, quality_cnn, topk
+from graphloom.llm import bpe, jaccard, langid, line_crf, mixing, quality_cnn, topk
 from graphloom.llm.common import held_out, table
 from graphloom.llm.fitting import labelled_sample
 
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -56,6 +60,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_top_k": op6_top_k,
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_rules": op8_quality_rules,
