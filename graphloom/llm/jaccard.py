@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import shared_dir, staged
+from graphloom.llm.frequency import class_table, classes_of
 from graphloom.llm.shingles import mixed, shingle_sets
 from graphloom.plans.components import components
 
@@ -37,12 +38,8 @@ PERCENT = 80
 MOST_SMALL = 10
 #: Inverted lists with more sets than this are heavy.
 HEAVY = 48
-#: Shingles of a block of a heavy list, and of one bucket of the frequency count.
-BLOCK_SHINGLES, BUCKET_SHINGLES = 2_000_000, 2_000_000
-#: Bits of the frequency table's address, at least and at most: it never takes more than 2**28 / 4 bytes.
-TABLE_BITS = (16, 28)
-#: Document frequencies at which the classes 1, 2 and 3 begin; class 0 is certain to be unique.
-CLASSES = (2, 8, 64)
+#: Shingles of a block of a heavy list.
+BLOCK_SHINGLES = 2_000_000
 
 
 def needed(a: int, b: int) -> int:
@@ -77,70 +74,18 @@ def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).mapInArrow(run, "doc long, n long, h1 long, h2 long")
 
 
-def _frequency_table(docs: DataFrame, text: str, total: int) -> tuple[bytes, int]:
-    """Two bits for each of 2**bits hash ranges: the class of the most frequent shingle in it."""
-    bits = min(max(math.ceil(math.log2(max(total, 2))) - 1, TABLE_BITS[0]), TABLE_BITS[1])
-    split = max(0, min(math.ceil(math.log2(max(1.0, total / BUCKET_SHINGLES))), bits - 2))
-
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(h >> np.uint64(64 - split), np.arange(1 << split, dtype=np.uint64)) if split else np.zeros(1, np.int64)
-            ends = np.append(cuts[1:], len(h))
-            rest = (h << np.uint64(split) >> np.uint64(32)).astype("<u4")
-            found = [(i, rest[a:z].tobytes()) for i, (a, z) in enumerate(zip(cuts, ends)) if z > a]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
-
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                h = shingle_sets(b.column("__t").slice(lo, 1000).to_pylist())[1]
-                held.append(h)
-                size += len(h)
-                if size > 4 * BUCKET_SHINGLES:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def classes(t: pa.Table) -> pa.Table:
-        x = np.sort(np.concatenate([np.frombuffer(v.as_py(), "<u4") for v in t.column("blob")]))
-        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        times = np.diff(np.append(first, len(x)))
-        level = np.digitize(times, CLASSES).astype(np.uint8)
-        slots = 1 << (bits - split)
-        at = (x[first] >> np.uint32(32 - (bits - split))).astype(np.int64)
-        table = np.zeros(slots, np.uint8)
-        head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        table[at[head]] = np.maximum.reduceat(level, head)
-        q = table.reshape(-1, 4)
-        packed = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "table": pa.array([packed.tobytes()], pa.binary())})
-
-    counted = docs.select(F.col(text).alias("__t")).mapInArrow(blobs, "bucket long, blob binary").groupBy("bucket").applyInArrow(classes, "bucket long, table binary")
-    whole = bytearray(1 << (bits - 2))
-    width = len(whole) >> split
-    for r in counted.toLocalIterator():
-        whole[r["bucket"] * width : (r["bucket"] + 1) * width] = r["table"]
-    return bytes(whole), bits
-
-
 def _posts(docs: DataFrame, key: str, text: str, table: bytes, bits: int) -> DataFrame:
     """(doc, n, toks, poss, shingles): for each set that may link, its posted shingles, their places, and all its shingles."""
     bundle = docs.sparkSession.sparkContext.broadcast(table)  # of at most 2**28 / 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.frombuffer(bundle.value, np.uint8)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 owner, h = shingle_sets(part.column("__t").to_pylist())
                 if not len(h):
                     continue
-                slot = h >> np.uint64(64 - bits)
-                kind = (kinds[slot >> np.uint64(2)] >> ((slot & np.uint64(3)).astype(np.uint8) * 2)) & 3
+                kind = classes_of(h, bundle.value, bits)
                 n = np.bincount(owner, minlength=part.num_rows)
                 first = np.cumsum(n) - n
                 order = np.lexsort((h, kind, owner))
@@ -270,7 +215,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sums = staged(_summaries(docs, key, text), "jaccard-sets")
     total = sums.agg(F.sum("n")).first()[0] or 0
     same = sums.where("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
-    table, bits = _frequency_table(docs, text, total)
+    table, bits = class_table(docs.select(F.col(text)), lambda texts: shingle_sets(texts)[1], total)
     posts = staged(_posts(docs, key, text, table, bits), "jaccard-posts")
     sets = staged(posts.join(same.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-reps")
     flat = sets.select("doc", "n", F.explode(F.arrays_zip("toks", "poss")).alias("p")).select("doc", "n", F.col("p.toks").alias("tok"), F.col("p.poss").alias("pos"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from graphloom.llm import bpe, jaccard, langid, line_crf, mixing, quality_cnn, topk
+from graphloom.llm import bpe, jaccard, langid, line_crf, mixing, quality_cnn, suffix_dedup, topk
 from graphloom.llm.common import held_out, table
 from graphloom.llm.fitting import labelled_sample
 
@@ -57,6 +57,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
