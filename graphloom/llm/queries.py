@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from graphloom.llm import bpe, jaccard, langid, line_crf, mixing, quality_cnn, suffix_dedup, topk
+from graphloom.llm import bpe, html_text, jaccard, langid, line_crf, line_dedup, mixing, quality_cnn, suffix_dedup, topk
 from graphloom.llm.common import held_out, table
 from graphloom.llm.fitting import labelled_sample
 
@@ -18,6 +18,11 @@ RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
@@ -30,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -62,8 +71,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
+    "op4_html_text": op4_html_text,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_top_k": op6_top_k,
     "op7_source_mixing": op7_source_mixing,
@@ -73,6 +84,18 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        k AS (SELECT doc_id, s, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS content FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS turn FROM k WHERE content IS NOT NULL),
+        gone AS (SELECT DISTINCT doc_id, s + t.o AS s FROM r, (VALUES (0), (1), (2)) t(o) WHERE turn > 1),
+        g AS (SELECT w.doc_id, w.i FROM w JOIN gone USING (doc_id, s)),
+        o AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(g.i) AS n_removed_lines FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id),
+        n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text, coalesce(n.n_lines, 0) AS n_lines, coalesce(o.n_removed_lines, 0) AS n_removed_lines
+        FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
     "op6_top_k": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0
