@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import binascii
-import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.staging import shared_dir, staged  # noqa: F401
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: A row is held out of every fit when crc32(doc_id as text) % HOLDOUT_MOD == 0.
@@ -36,27 +36,3 @@ def held_out_py(doc_id: int) -> bool:
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(configured)
-        return configured
-    at = sc._jsc.sc().getCheckpointDir()
-    if not at.isDefined():
-        local = os.path.join("/tmp/checkpoints", uuid.uuid4().hex)
-        sc.setCheckpointDir(local)
-        return local
-    return at.get()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame as Parquet in the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
