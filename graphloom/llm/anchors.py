@@ -10,7 +10,7 @@ from graphloom.llm.shingles import _powers, mixed
 LENGTH, GRAM = 50, 20
 PLACES = LENGTH - GRAM + 1
 #: Bytes handled at once; the place of an anchor takes the low bits of its sort key.
-SLICE = 1 << 21
+SLICE = 1 << 20
 _PLACE_BITS = 24
 
 

@@ -20,6 +20,8 @@ CLASSES = (2, 8, 64)
 TABLE_BITS = (16, 28)
 #: Items of a range of the count.
 RANGE_ITEMS = 2_000_000
+#: Rows whose texts are in Python's hands at once.
+ROWS = 500
 
 
 def classes_of(h: np.ndarray, table: bytes, bits: int) -> np.ndarray:
@@ -45,11 +47,11 @@ def class_table(texts: DataFrame, hashes: Callable[[list[str | None]], np.ndarra
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                h = hashes(b.column(0).slice(lo, 1000).to_pylist())
+            for lo in range(0, b.num_rows, ROWS):
+                h = hashes(b.column(0).slice(lo, ROWS).to_pylist())
                 held.append(h)
                 size += len(h)
-                if size > 4 * RANGE_ITEMS:
+                if size > RANGE_ITEMS:
                     yield flush()
                     held, size = [], 0
         if size:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import shared_dir, staged
-from graphloom.llm.frequency import class_table, classes_of
+from graphloom.llm.frequency import ROWS, class_table, classes_of
 from graphloom.llm.shingles import mixed, shingle_sets
 from graphloom.plans.components import components
 
@@ -60,16 +60,15 @@ def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, n, h1, h2): the size of each set and two sums of its mixed hashes, which name it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.num_rows
-            owner, h = shingle_sets(b.column("__t").to_pylist())
-            n = np.bincount(owner, minlength=rows)
+        for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            owner, h = shingle_sets(part.column("__t").to_pylist())
+            n = np.bincount(owner, minlength=part.num_rows)
             sums = []
             for salt in (1, 2):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(salt)))])
                 ends = np.cumsum(n)
                 sums.append((total[ends] - total[ends - n]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=["doc", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=["doc", "n", "h1", "h2"])
 
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).mapInArrow(run, "doc long, n long, h1 long, h2 long")
 
@@ -80,8 +79,8 @@ def _posts(docs: DataFrame, key: str, text: str, table: bytes, bits: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 owner, h = shingle_sets(part.column("__t").to_pylist())
                 if not len(h):
                     continue

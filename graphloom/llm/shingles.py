@@ -6,7 +6,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
