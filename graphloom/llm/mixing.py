@@ -9,7 +9,7 @@ replacement; a leaf owns disjoint runs of permuted positions, shuffled locally b
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the order; a
 source of size 0 gets target 0; an empty table gives an empty table. Rows equal in id, source and
-size are interchangeable, and the one boundary block of a source takes as many of them as fit.
+size are taken all alike, and the one boundary block of a source takes them together or not at all.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_row, word_count
+from graphloom.llm.common import as_row, staged, word_count
 
 #: Source weights by code-point order of the sources, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,13 +66,17 @@ def _permuted(block: Column, nb: Column, turn: Column, src: Column) -> Column:
     return F.pmod(block * F.pmod(a, nb) + c, nb)
 
 
-def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets per source, drawn blocks, boundary picks) of the mix; see ``mix`` and ``copies``."""
-    own = [F.col(source), F.col(text), F.col(key)]
-    sized = docs.select(*_key(own[0]), word_count(own[1]).alias("__words"), own[2].cast("string").alias("__id"))
-    counts = docs.select(*_key(own[0])).groupBy(*_K).agg(F.count("*").alias("__rows")).withColumn("__nb", _blocks(F.col("__rows")))
-    blocked = sized.join(counts.select(*_K, "__nb"), _K).withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(SEED)), F.col("__nb")))
-    per_block = blocked.groupBy(*_K, "__nb", "__block").agg(F.sum("__words").alias("__bsize"))
+def _thin(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
+    """(source key, __words, __id, __same): what the plan needs of the rows, counted once and written; no text is shuffled for it."""
+    rows = docs.select(*_key(F.col(source)), word_count(F.col(text)).alias("__words"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__id"))
+    return staged(rows.groupBy(*_K, "__id", "__words").agg(F.count("*").alias("__same")), "mixing-rows")
+
+
+def plan(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with their blocks, targets per source, drawn blocks, boundary picks) of the mix."""
+    counts = thin.groupBy(*_K).agg(F.sum("__same").alias("__rows")).select(*_K, _blocks(F.col("__rows")).alias("__nb"))
+    blocked = thin.join(counts, _K).withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(SEED)), F.col("__nb")))
+    per_block = staged(blocked.groupBy(*_K, "__nb", "__block").agg(F.sum(F.col("__words") * F.col("__same")).alias("__bsize")), "mixing-blocks")
     targets = source_targets(per_block.groupBy(*_K).agg(F.sum("__bsize").alias("__size")), weights, max_passes)
 
     goal = F.round(F.col("__target")).cast("long")
@@ -83,38 +87,21 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     blocks = blocks.withColumn("__gap", F.col("__rest") - F.coalesce(F.sum("__bsize").over(run), F.lit(0)))
     whole = (F.col("__gap") >= F.col("__bsize")) & (F.col("__rest") > 0)
     partial = ~whole & (F.col("__gap") > 0)
-    drawn = blocks.select(*_K, "__nb", "__block", "__at", F.col("__turn") + whole.cast("long"), partial.alias("__partial"), F.when(partial, F.col("__gap")).otherwise(0).alias("__gap"))
-    drawn = drawn.toDF(*_K, "__nb", "__block", "__at", "__times", "__partial", "__gap")
+    drawn = blocks.select(*_K, "__nb", "__block", (F.col("__turn") + whole.cast("long")).alias("__times"), partial.alias("__partial"), F.when(partial, F.col("__gap")).otherwise(0).alias("__gap"))
 
-    # The boundary block of each source: documents in hash order, each taken if it still fits.
+    # The boundary block of each source: rows in hash order, each taken if it still fits.
     edge = drawn.where("__partial").select(*_K, "__block", "__gap")
-    offers = blocked.where("__words > 0").join(edge, [*_K, "__block"]).groupBy(*_K, "__block", "__gap", "__id", "__words").agg(F.count("*").alias("__same"))
+    offers = blocked.where("__words > 0").join(edge, [*_K, "__block"])
     listed = offers.groupBy(*_K, "__block", "__gap").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("__id", F.lit(SEED + 3)).alias("h"), F.col("__id").alias("id"), F.col("__words").alias("w"), F.col("__same").alias("n")))).alias("__list"))
-    empty = F.from_json(F.lit("[]"), "array<struct<id:string,w:bigint,n:bigint>>")
 
     def fit(acc: Column, x: Column) -> Column:
-        n = F.least(x["n"], F.floor(acc["gap"] / x["w"]))
-        taken = F.when(n > 0, F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["w"].alias("w"), n.alias("n"))))).otherwise(acc["out"])
-        return F.struct((acc["gap"] - n * x["w"]).alias("gap"), taken.alias("out"))
+        fits = x["w"] * x["n"] <= acc["gap"]
+        left = acc["gap"] - F.when(fits, x["w"] * x["n"]).otherwise(0)
+        return F.struct(left.alias("gap"), F.when(fits, F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["w"].alias("w"))))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.col("__gap").cast("long").alias("gap"), empty.alias("out"))
-    picks = listed.select(*_K, "__block", F.explode(F.aggregate("__list", start, fit)["out"]).alias("p")).select(*_K, "__block", F.col("p.id").alias("__id"), F.col("p.w").alias("__words"), F.col("p.n").alias("__more"))
-    return targets, drawn, picks
-
-
-def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with mix_size, mix_source_size, mix_target, and mix_copies: how often the mix takes the row."""
-    targets, drawn, picks = plan(docs, text, source, key, weights, max_passes)
-    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ADDED]
-    counted = docs.select(as_row(docs, kept), *_key(F.col(source)), word_count(F.col(text)).alias("__words"), F.col(key).cast("string").alias("__id"))
-    nb = drawn.groupBy(*_K).agg(F.first("__nb").alias("__nb"))
-    rows = counted.join(targets.join(nb, _K), _K).withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(SEED)), F.col("__nb")))
-    rows = rows.join(drawn.select(*_K, "__block", "__times", "__partial"), [*_K, "__block"])
-    # Only rows of boundary blocks are ranked, to share a pick among rows equal in id and size.
-    same = Window.partitionBy(*_K, "__block", "__id", "__words").orderBy(F.lit(0))
-    edge = rows.where("__partial").join(picks, [*_K, "__block", "__id", "__words"], "left").withColumn("__more", (F.row_number().over(same) <= F.coalesce("__more", F.lit(0))).cast("long"))
-    out = rows.where("not __partial").withColumn("__more", F.lit(0).cast("long")).unionByName(edge)
-    return out.select(*[F.col("__row")[c].alias(c) for c in kept], F.col("__words").alias("mix_size"), F.col("__size").alias("mix_source_size"), F.col("__target").alias("mix_target"), (F.col("__times") + F.col("__more")).alias("mix_shards"))
+    start = F.struct(F.col("__gap").cast("long").alias("gap"), F.from_json(F.lit("[]"), "array<struct<id:string,w:bigint>>").alias("out"))
+    picks = listed.select(*_K, F.explode(F.aggregate("__list", start, fit)["out"]).alias("p")).select(*_K, F.col("p.id").alias("__id"), F.col("p.w").alias("__words"), F.lit(1).cast("long").alias("__more"))
+    return blocked, targets, drawn, picks
 
 
 def shard_quotas(drawn: DataFrame, levels: int) -> DataFrame:
@@ -166,19 +153,19 @@ def _sharded(drawn: DataFrame, levels: int) -> DataFrame:
 
 
 def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES, shard_levels: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with mix_size, mix_source_size, mix_target and mix_shards: a shard for each copy that the mix takes."""
-    targets, drawn, picks = plan(docs, text, source, key, weights, max_passes)
+    """``docs`` (or its columns ``keep``) with mix_size, mix_source_size, mix_target and mix_shards: a shard for each copy that the mix takes.
+
+    Everything is decided on thin rows; the documents themselves are shuffled once, by id, to meet their decision.
+    """
+    blocked, targets, drawn, picks = plan(_thin(docs, text, source, key), weights, max_passes)
+    made = blocked.select(*_K, "__block", "__id", "__words").join(targets.select(*_K, "__size", "__target"), _K).join(_sharded(drawn, shard_levels).select(*_K, "__block", "__times", "__shards"), [*_K, "__block"])
+    made = made.join(picks, [*_K, "__id", "__words"], "left")
+    shards = F.slice("__shards", F.lit(1), (F.col("__times") + F.coalesce("__more", F.lit(0))).cast("int"))
+    made = made.select(*_K, "__id", "__words", F.col("__size").alias("mix_source_size"), F.col("__target").alias("mix_target"), shards.alias("mix_shards"))
     kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ADDED]
-    counted = docs.select(as_row(docs, kept), *_key(F.col(source)), word_count(F.col(text)).alias("__words"), F.col(key).cast("string").alias("__id"))
-    nb = drawn.groupBy(*_K).agg(F.first("__nb").alias("__nb"))
-    rows = counted.join(targets.join(nb, _K), _K).withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(SEED)), F.col("__nb")))
-    rows = rows.join(_sharded(drawn, shard_levels).select(*_K, "__block", "__times", "__partial", "__shards"), [*_K, "__block"])
-    # Only rows of boundary blocks are ranked, to share a pick among rows equal in id and size.
-    same = Window.partitionBy(*_K, "__block", "__id", "__words").orderBy(F.lit(0))
-    edge = rows.where("__partial").join(picks, [*_K, "__block", "__id", "__words"], "left").withColumn("__more", (F.row_number().over(same) <= F.coalesce("__more", F.lit(0))).cast("long"))
-    out = rows.where("not __partial").withColumn("__more", F.lit(0).cast("long")).unionByName(edge)
-    shards = F.slice("__shards", F.lit(1), (F.col("__times") + F.col("__more")).cast("int"))
-    return out.select(*[F.col("__row")[c].alias(c) for c in kept], F.col("__words").alias("mix_size"), F.col("__size").alias("mix_source_size"), F.col("__target").alias("mix_target"), shards.alias("mix_shards"))
+    rows = docs.select(as_row(docs, kept), *_key(F.col(source)), word_count(F.col(text)).alias("__words"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__id"))
+    out = rows.join(made, [*_K, "__id", "__words"])
+    return out.select(*[F.col("__row")[c].alias(c) for c in kept], F.col("__words").alias("mix_size"), "mix_source_size", "mix_target", "mix_shards")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES, shard_levels: int = 3) -> DataFrame:
