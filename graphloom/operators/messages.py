@@ -72,8 +72,11 @@ class VertexProgram:
     apply: Callable[[], dict[str, Column]]
 
 
-def run_rounds(g: PreparedGraph, state: DataFrame, program: VertexProgram, rounds: int, cut: Callable[[DataFrame], DataFrame] | None = None, every: int = 4, until: Callable[[DataFrame, DataFrame], bool] | None = None) -> DataFrame:
-    """Runs ``rounds`` rounds, or fewer once ``until`` holds; ``cut`` writes the state out every few rounds."""
+def run_rounds(g: PreparedGraph, state: DataFrame, program: VertexProgram, rounds: int, cut: Callable[[DataFrame], DataFrame] | None = None, every: int = 1, until: Callable[[DataFrame, DataFrame], bool] | None = None) -> DataFrame:
+    """Runs ``rounds`` rounds, or fewer once ``until`` holds; ``cut`` writes the state out every few rounds.
+
+    A round reads the state twice, so an uncut plan doubles with each round.
+    """
     columns = state.columns
     for i in range(rounds):
         sent = g.edges.join(state.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid"), program.message().alias("m"))

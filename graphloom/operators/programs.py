@@ -24,7 +24,7 @@ def pagerank(g: PreparedGraph, rounds: int = 5, damping: float = 0.85, tolerance
     settled = None
     if tolerance is not None:
         settled = lambda a, b: (a.select("vid", F.col("rank").alias("r")).join(b, "vid").agg(F.max(F.abs(F.col("rank") - F.col("r")))).first()[0] or 0.0) <= tolerance
-    return run_rounds(g, state, program, rounds, cut=lambda df: staged(df, "pagerank"), every=6, until=settled).select("vid", "rank")
+    return run_rounds(g, state, program, rounds, cut=lambda df: staged(df, "pagerank"), until=settled).select("vid", "rank")
 
 
 def shortest_paths(g: PreparedGraph, source: int, rounds: int) -> DataFrame:

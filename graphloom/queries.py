@@ -167,7 +167,7 @@ def tokenize(spark, d):
 
 @query
 def feature_prescale(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     x = g.vertices.join(g.scale, "vid").select("vid", V.scaled(F.col("feature"), F.col("s")).alias("h"))
     return V.long_form(x, "h", ["vid"])
 
@@ -175,32 +175,32 @@ def feature_prescale(spark, d):
 @query
 def scatter_src_map(spark, d):
     """Source values on edges, inside and between tiles, as per-edge sums of the vector."""
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return messages.source_values(g, gcn.features(g)).select("src", "dst", "inter", V.row_sum(F.col("h")).alias("value")).select("src", "dst", "inter", r6("value"))
 
 
 @query
 def premerge_by_tile(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(messages.premerged(g, gcn.features(g), CONFIG.input_dim), "h", ["tid", "vid"])
 
 
 @query
 def gather_masked(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     h = gcn.features(g)
     return V.long_form(messages.gathered(g, h, messages.premerged(g, h, CONFIG.input_dim), 1), "h", ["vid"])
 
 
 @query
 def gcn_propagate(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(messages.propagate(g, gcn.features(g), CONFIG.input_dim), "h", ["vid"])
 
 
 @query
 def propagate_original(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     h = g.vertices.join(g.scale, "vid").select("vid", V.scaled(F.col("feature"), F.col("s")).alias("h"))
     return V.long_form(messages.propagate_per_edge(g, h, CONFIG.input_dim), "h", ["vid"])
 
@@ -231,13 +231,13 @@ def matmul_dense(spark, d):
 
 @query
 def matmul_then_propagate(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(gcn.layer(g, gcn.features(g), _w0(), "matmul_first"), "h", ["vid"])
 
 
 @query
 def propagate_then_matmul(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(gcn.layer(g, gcn.features(g), _w0(), "propagate_first"), "h", ["vid"])
 
 
@@ -280,7 +280,7 @@ def feature_row_sum(spark, d):
 @query
 def vector_scale_two(spark, d):
     """Each vector times two factors of its own vertex."""
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     x = g.vertices.join(g.scale, "vid").select("vid", V.scaled(V.scaled(F.col("feature"), F.col("s")), F.col("label").cast("double")).alias("h"))
     return V.long_form(x, "h", ["vid"])
 
@@ -295,48 +295,48 @@ def glorot_weights(spark, d):
 
 @query
 def gcn_forward(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(gcn.forward(g, CONFIG.weights())[-1], "h", ["vid"])
 
 
 @query
 def gcn_forward_delayed(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(gcn.forward(g, CONFIG.weights(), "delayed")[-1], "h", ["vid"])
 
 
 @query
 def gcn_forward_original(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(gcn.forward(g, CONFIG.weights(), "original")[-1], "h", ["vid"])
 
 
 @query
 def gcn_inference(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(gcn.predict(g, CONFIG.weights()), "p", ["vid"])
 
 
 @query
 def p_minus_y_masked(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return V.long_form(metrics.masked_error(gcn.predict(g, CONFIG.weights()), g, CONFIG.train_ratio), "h", ["vid"])
 
 
 @query
 def cross_entropy(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return metrics.cross_entropy(gcn.predict(g, CONFIG.weights()), g).select("tid", r6("loss"))
 
 
 @query
 def accuracy_by_split(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return metrics.accuracy_by_split(gcn.predict(g, CONFIG.weights()), g).select("tid", "metric", r6("value"))
 
 
 def _gradient(spark, d, k, mode):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     return gcn.gradients(g, CONFIG.weights(), CONFIG.train_ratio, mode)[k].select("tid", "i", "j", r6("w"))
 
 
@@ -357,14 +357,14 @@ def grad_w0_optimized(spark, d):
 
 @query
 def sgd_step(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     w = CONFIG.weights()
     return gcn.sgd_step(gcn.weight_frame(spark, w[1]), gcn.gradients(g, w, CONFIG.train_ratio)[1], CONFIG.learning_rate).select("tid", "i", "j", r6("w"))
 
 
 @query
 def weight_average(spark, d):
-    g = from_tables(spark, d)
+    g = from_tables(spark, d).cache()
     w = CONFIG.weights()
     return gcn.average_weights(gcn.sgd_step(gcn.weight_frame(spark, w[1]), gcn.gradients(g, w, CONFIG.train_ratio)[1], CONFIG.learning_rate)).select("i", "j", r6("w"))
 
@@ -444,7 +444,7 @@ def _source(g: PreparedGraph) -> int:
 
 @query
 def pagerank(spark, d):
-    return programs.pagerank(from_tables(spark, d), 5).select("vid", F.round(F.col("rank") * 1000, 6).alias("rank"))
+    return programs.pagerank(from_tables(spark, d).cache(), 5).select("vid", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 
 @query
