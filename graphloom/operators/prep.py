@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.prepared import PreparedGraph
+from graphloom.plans.staging import staged
 
 
 def round_robin(vertices: DataFrame, tiles: int) -> DataFrame:
@@ -16,8 +17,9 @@ def blocks(vertices: DataFrame, parts: int) -> DataFrame:
     """(vid, part): contiguous blocks by id; the first n % parts blocks hold one more.
 
     Ids are ranked range by range: a range's offset plus the rank inside it, so no window spans all rows.
+    The ranges are written down once, as sampling them again could draw others.
     """
-    ids = vertices.select("vid").repartitionByRange("vid").withColumn("__r", F.spark_partition_id())
+    ids = staged(vertices.select("vid").repartitionByRange("vid").withColumn("__r", F.spark_partition_id()), "ranges")
     ids = ids.select("vid", "__r", (F.row_number().over(Window.partitionBy("__r").orderBy("vid")) - 1).alias("__i"))
     sizes = ids.groupBy("__r").agg(F.count("*").alias("__n"))
     offsets = sizes.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__o"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__total"))
