@@ -176,6 +176,9 @@ b AS (SELECT src % {TILES} AS tid, count(*) AS edges, count_if(src % {TILES} <>
     "connected_components": _components(),
     "pair_add": sql(GRAPH, f"SELECT dst AS vid, {r6('sum(x)', 'total')}, count(*) AS count FROM e JOIN x ON x.vid = e.src AND x.k = 0 GROUP BY dst"),
     "safe_div": sql(GRAPH, f"SELECT vid, {r6('CASE WHEN in_degree = 0 THEN 0 ELSE x / in_degree END', 'value')} FROM x JOIN ind USING (vid) WHERE k = 0"),
+    "task_algebra": sql(GRAPH, "f AS (SELECT vec_id AS vid, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, in_degree AS n FROM embeddings JOIN ind ON vid = vec_id)", f"SELECT vid, n + vid AS pair_count, CASE WHEN b < a THEN -1 ELSE vid END AS least_parent, n AS moved_parent, {r6('a + b', 'add')}, {r6('a + b', 'pair_value')}, {r6('least(a, b)', 'least')}, {r6('a + n', 'moved')}, {r6('CASE WHEN n = 0 THEN 0 ELSE a / n END', 'quotient')}, {r6('b', 'swapped')}, {r6('CASE WHEN n % 2 = 0 THEN b ELSE a END', 'masked')} FROM f"),
+    "segmented_prefix_sum": sql(GRAPH, f"SELECT src, dst, {r6('sum(x) OVER (PARTITION BY dst ORDER BY src)', 'total')} FROM e JOIN x ON x.vid = e.src AND x.k = 0"),
+    "barrier_and": sql(GRAPH, "SELECT tid, bool_and(in_degree > 0) AS agreed FROM v JOIN ind USING (vid) GROUP BY tid"),
     "degree_order": sql(GRAPH, "t AS (SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY in_degree DESC, vid) AS place, vid, in_degree FROM ind JOIN v USING (vid))", "SELECT * FROM t WHERE place <= 10"),
     "comm_model": "WITH d AS (SELECT *, 8 * (d + 2 * h) AS m, 8 * (3 * h + 2 * c) AS o FROM (VALUES ('cora', 2708::DOUBLE, 10556::DOUBLE, 1433, 7, 16), ('citeseer', 3312, 10016, 3703, 6, 16), ('pubmed', 19717, 128146, 500, 3, 16)) t(dataset, n, e, d, c, h)), g AS (SELECT dataset, 'adjacency_matrix' AS model, 2 * m * (n * n + n) AS b FROM d UNION ALL SELECT dataset, 'adjacency_list', m * n * e FROM d UNION ALL SELECT dataset, 'graphsc', 10 * m * (n + e) FROM d UNION ALL SELECT dataset, 'original', m * (n + 5 * e) FROM d UNION ALL SELECT dataset, 'optimized', o * (n + 5 * e) FROM d) SELECT dataset, model, round(b / 1073741824, 6) AS gb FROM g",
     "epoch_duration": sql(RUNS, EPOCHS, f"SELECT party, epoch, {r6('seconds')} FROM ep"),

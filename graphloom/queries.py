@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.functions import tasks
 from graphloom.operators import gcn, messages, metrics, prep, programs, runlog, shares
 from graphloom.operators import vectors as V
 from graphloom.plans.prepared import PreparedGraph, base_edges, from_tables
@@ -487,6 +488,38 @@ def degree_order(spark, d):
     return g.in_degree.join(g.parts, "vid").withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("tid", "place", "vid", "in_degree")
 
 
+@query
+def task_algebra(spark, d):
+    """Every task of the algebra on the vertices' own numbers."""
+    g = from_tables(spark, d)
+    x = g.vertices.join(g.in_degree, "vid").select("vid", F.col("feature")[0].alias("a"), F.col("feature")[1].alias("b"), F.col("in_degree").alias("n"))
+    pair = lambda v, c: F.struct(F.col(v).alias("value"), F.col(c).alias("count"))
+    state = lambda v: F.struct(F.col(v).alias("value"), F.col("vid").alias("parent"))
+    t = x.select(
+        "vid", tasks.add(F.col("a"), F.col("b")).alias("add"), tasks.add_pair(pair("a", "n"), pair("b", "vid")).alias("p"),
+        tasks.min_with_parent(state("a"), tasks.replace_parent(state("b"), F.lit(-1).cast("long"))).alias("m"),
+        tasks.add_with_replaced_parent(state("a"), F.col("n"), F.col("n")).alias("w"), tasks.divide(F.col("a"), F.col("n").cast("double")).alias("q"),
+        tasks.swap(F.col("a"), F.col("b")).alias("s"), tasks.masked(F.col("b"), F.col("a"), F.col("n") % 2 == 0).alias("k"),
+    )
+    flat = t.select("vid", "add", F.col("p.value").alias("pair_value"), F.col("p.count").alias("pair_count"), F.col("m.value").alias("least"), F.col("m.parent").alias("least_parent"), F.col("w.value").alias("moved"), F.col("w.parent").alias("moved_parent"), F.col("q").alias("quotient"), F.col("s.first").alias("swapped"), F.col("k").alias("masked"))
+    return flat.select("vid", "pair_count", "least_parent", "moved_parent", *[r6(c) for c in ("add", "pair_value", "least", "moved", "quotient", "swapped", "masked")])
+
+
+@query
+def segmented_prefix_sum(spark, d):
+    """Running sums of the sources' first feature along each in-list."""
+    g = from_tables(spark, d)
+    sent = g.edges.join(g.vertices.select(F.col("vid").alias("src"), F.col("feature")[0].alias("x")), "src")
+    return sent.select("src", "dst", F.sum("x").over(Window.partitionBy("dst").orderBy("src")).alias("total")).select("src", "dst", r6("total"))
+
+
+@query
+def barrier_and(spark, d):
+    """Per tile, whether every vertex has an in-edge."""
+    g = from_tables(spark, d)
+    return g.parts.join(g.in_degree, "vid").groupBy("tid").agg(tasks.all_agree(F.col("in_degree") > 0).alias("agreed"))
+
+
 # --- run-log analytics, on the event table read as a log
 
 
