@@ -343,3 +343,16 @@ def test_merged_transforms_hold_the_repeat_intervals():
         for k in range(len(s) - 7):
             want[s[k : k + 8]].add((i, k))
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_suffix_dedup_with_many_ranges(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD_RUNS", 20)
+    monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 500)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == removed_by_force(rows)
+
+
+def test_nothing_to_settle():
+    none = np.empty(0, np.int64)
+    order, least = suffix_dedup._least_of(none, none, none.view(np.uint64), none.view(np.uint64))
+    assert len(order) == len(least) == 0
