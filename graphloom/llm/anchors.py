@@ -10,7 +10,7 @@ from graphloom.llm.shingles import _powers, mixed
 LENGTH, GRAM = 50, 20
 PLACES = LENGTH - GRAM + 1
 #: Bytes handled at once; the place of an anchor takes the low bits of its sort key.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _PLACE_BITS = 24
 
 
@@ -45,11 +45,11 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchor_runs(data: np.ndarray, starts: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last, hash): the runs of repeat starts first..last whose anchor is the same one; places count from the slice."""
+def anchor_runs(data: np.ndarray, starts: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, anchor, hash): the runs of repeat starts first..last whose anchor is the same one; places count from the slice."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, none, np.empty(0, np.uint64)
     sums = prefix_sums(data) if sums is None else sums
     _, down = _powers(len(data) + 1)
     h = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
@@ -67,8 +67,8 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, sums: np.ndarray | None =
     good = np.arange(len(place)) + LENGTH <= starts[row_of + 1]
     at = np.flatnonzero(good)
     if not len(at):
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, none, np.empty(0, np.uint64)
     p = place[at]
     head = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)))
     tail = np.append(head[1:], len(at)) - 1
-    return row_of[at[head]], at[head], at[tail], h[p[head]]
+    return row_of[at[head]], at[head], at[tail], p[head], h[p[head]]

@@ -4,12 +4,14 @@ A byte of a text goes when a LENGTH-byte string covers it that also starts in a
 
 1. Every LENGTH bytes hold an anchor that their content chooses. A table of fixed size says which
    anchors occur in a single text only; strings around those cannot repeat and leave here.
-2. Each task gathers the strings around its other anchors, keeps the smallest text's copy of equal
-   ones, and packs, for each anchor range, the strings' Burrows-Wheeler transform: a shard.
-3. The shards of a range are merged by refining their interleave byte by byte with the transforms'
+2. The strings around the other anchors are named by hash. Copies of a whole string in larger texts
+   are settled by the name; what is left are anchors with different strings that share the bytes on one side.
+3. Each task gathers the strings around those, as far as that side goes, keeps the smallest text's copy of equal ones, and packs,
+   for each anchor range, the strings' Burrows-Wheeler transform: a shard.
+4. The shards of a range are merged by refining their interleave byte by byte with the transforms'
    own last-to-first steps; no suffix is sorted again. Runs of common prefixes split as the refinement
    goes, single rows leave, and what is together after LENGTH steps is a repeat interval.
-4. In each interval, starts in texts other than the smallest are marked; marked strings are joined to
+5. In each interval, starts in texts other than the smallest are marked; marked strings are joined to
    runs of bytes per text.
 
 Defined results: null is an empty text; texts under LENGTH bytes lose nothing; rows repeated in id
@@ -25,23 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.anchors import LENGTH, anchor_runs, gathered, prefix_sums
+from graphloom.llm.anchors import GRAM, LENGTH, anchor_runs, gathered, prefix_sums
 from graphloom.llm.common import staged
-from graphloom.llm.frequency import class_table, classes_of
+from graphloom.llm.frequency import ROWS, class_table, classes_of
 from graphloom.llm.shingles import _powers, mixed
 
 #: Bytes of gathered strings in a merge, about; and in a task before it packs them as shards.
-MERGE_BYTES, SHARD_BYTES = 6 << 20, 24 << 20
+MERGE_BYTES, SHARD_BYTES = 1 << 20, 8 << 20
+#: Runs of repeat starts that a task, or the count of an anchor range, holds at once.
+HELD_RUNS = 250_000
+#: Bytes beside an anchor: half of what a repeat has besides it.
+SIDE = (LENGTH - GRAM) // 2
 
 
 def _anchor_hashes(texts: list[str | None]) -> np.ndarray:
     """The distinct anchors of each text."""
     found = []
     for _, data, starts in gathered(texts):
-        row, _, _, h = anchor_runs(data, starts)
+        row, _, _, _, h = anchor_runs(data, starts)
         order = np.lexsort((h, row))
         row, h = row[order], h[order]
         new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
@@ -110,8 +117,8 @@ def merged_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray,
     forward = np.empty(len(last), np.int32 if len(last) < 2**31 else np.int64)
     for s, b in zip(shards, base):
         forward[np.argsort(s, kind="stable") + b] = np.arange(len(s)) + b
-    rows = np.arange(len(last))
-    run = np.zeros(len(last), np.int64)
+    rows = np.arange(len(last), dtype=forward.dtype)
+    run = np.zeros(len(last), np.int32)
     for _ in range(length):
         c = last[rows]
         keep = np.flatnonzero(c)  # what would start with a string's end is no repeat
@@ -122,7 +129,7 @@ def merged_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray,
             break
         head = np.append(True, (c[1:] != c[:-1]) | (run[1:] != run[:-1]))
         alone = head & np.append(head[1:], True)
-        run = np.cumsum(head)
+        run = np.cumsum(head, dtype=np.int32)
         keep = np.flatnonzero(~alone)
         rows, run = rows[keep], run[keep]
     return rows, run
@@ -142,14 +149,125 @@ def row_places(shard: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return string, place
 
 
-def _shards(docs: DataFrame, table: bytes, bits: int, buckets: int) -> DataFrame:
-    """(bucket, last, doc, start, size, span): shards by bucket, and under bucket -1 the spans that a task settles by itself."""
+def _candidates(batches: Iterator[pa.RecordBatch], table: bytes, bits: int) -> Iterator[tuple]:
+    """For slices of text: (doc, start, span, anchor hash, name of the string, left, right, bytes, first, end, anchor) of the runs whose anchor's class is not 0.
+
+    A repeat around an anchor holds its SIDE bytes to the left, or as many to the right: ``left`` and
+    ``right`` are short hashes of the anchor with either, 0 where no start of the run reaches there.
+    """
+    for b in batches:
+        for part in (b.slice(lo, ROWS) for lo in range(0, b.num_rows, ROWS)):
+            ids = part.column("doc").to_numpy()
+            for first, data, starts in gathered(part.column("__t").to_pylist()):
+                sums = prefix_sums(data)
+                row, lo, hi, at, h = anchor_runs(data, starts, sums)
+                pick = np.flatnonzero(classes_of(h, table, bits))
+                if not len(pick):
+                    continue
+                row, lo, hi, at, h = row[pick], lo[pick], hi[pick], at[pick], h[pick]
+                end = hi + LENGTH
+                down = _powers(len(data) + 1)[1]
+                hashed = lambda a, z: mixed((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64))
+                a, z = np.maximum(at - SIDE, lo), np.minimum(at + GRAM + SIDE, end)
+                left = np.where(lo <= at - SIDE, (hashed(a, at + GRAM) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+                right = np.where(hi >= at - SIDE, (hashed(at, z) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+                yield ids[first + row], (lo - starts[row]).astype(np.int32), (hi - lo + 1).astype(np.int32), h, hashed(lo, end), left, right, data, lo, end, at
+
+
+def _side(h: np.ndarray, part: np.ndarray, salt: int, split: int) -> np.ndarray:
+    """A hash of anchor and side that stays in the anchor's range."""
+    x = mixed(h + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+    return (h >> np.uint64(64 - split) << np.uint64(64 - split)) | (x >> np.uint64(split)) if split else x
+
+
+def _least_of(doc: np.ndarray, start: np.ndarray, h: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, least): rows ordered by anchor, string, text and place, and the smallest text of each one's string."""
+    order = np.lexsort((start, doc, name, h))
+    head = np.append(True, (h[order][1:] != h[order][:-1]) | (name[order][1:] != name[order][:-1]))[: len(order)]
+    return order, doc[order][np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in c], pa.binary()) for c in cols[1:]]], names=names)
+
+
+_NAMED = ["bucket", "h", "name", "left", "right", "doc", "start", "span"]
+
+
+def _named_strings(docs: DataFrame, table: bytes, bits: int, split: int) -> DataFrame:
+    """The runs by anchor range, with hashes of their strings only; runs that a task settles by itself ride along without."""
     bundle = docs.sparkSession.sparkContext.broadcast(table)
-    names = ["bucket", "last", "doc", "start", "size", "span"]
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in c], pa.binary()) for c in cols[1:]]], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            doc, start, span, h, name, left, right = (np.concatenate([x[k] for x in held]) for k in range(7))
+            order, least = _least_of(doc, start, h, name)
+            settled = doc[order] > least
+            gone, kept = np.sort(order[settled]), order[~settled]
+            rows = []
+            for k, ids in enumerate(np.array_split(gone, 1 << split)):  # in step with the ranges, so none is larger
+                if len(ids):
+                    rows.append((k, b"", b"", b"", b"", doc[ids], start[ids], span[ids]))
+            own = (h[kept] >> np.uint64(64 - split)).astype(np.int64) if split else np.zeros(len(kept), np.int64)
+            for ids in np.split(kept, np.flatnonzero(np.diff(own)) + 1):  # kept is in order of the anchors
+                ids = np.sort(ids)  # neighbours in a text compress well
+                rows.append((int(h[ids[0]] >> np.uint64(64 - split)) if split else 0, h[ids], name[ids], left[ids], right[ids], doc[ids], start[ids], span[ids]))
+            yield _batch(rows, _NAMED)
+
+        for found in _candidates(batches, bundle.value, bits):
+            held.append(found[:7])
+            size += len(found[0])
+            if size >= HELD_RUNS:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(run, "bucket long, h binary, name binary, left binary, right binary, doc binary, start binary, span binary")
+
+
+def _settle(bits: int, split: int):
+    """For an anchor range: the runs whose whole string is in a smaller text, and a table of the anchors' sides that different strings share."""
+
+    def shared(h: np.ndarray, side: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """Rows of the (anchor, side) pairs that go with two names or more."""
+        some = np.flatnonzero(side)
+        order = some[np.lexsort((name[some], side[some], h[some]))]
+        if not len(order):
+            return order
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (side[order][1:] != side[order][:-1]))
+        other = new | np.append(True, name[order][1:] != name[order][:-1])
+        head = np.flatnonzero(new)
+        return order[head[np.add.reduceat(other.astype(np.int64), head) > 1]]
+
+    def settle(t: pa.Table) -> pa.Table:
+        live = t.filter(pc.greater(pc.binary_length(t.column("h")), 0))
+        rest = t.filter(pc.equal(pc.binary_length(t.column("h")), 0))
+        get = lambda x, name, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(v.as_py(), kind) for v in x.column(name)]])
+        h, name, left, right = get(live, "h", "<u8"), get(live, "name", "<u8"), get(live, "left", "<u4"), get(live, "right", "<u4")
+        doc, start, span = get(live, "doc", "<i8"), get(live, "start", "<i4"), get(live, "span", "<i4")
+        order, least = _least_of(doc, start, h, name)
+        gone = np.sort(order[doc[order] > least])
+        table = np.zeros(1 << (bits - split), np.uint8)
+        for side, salt in ((left, 1), (right, 2)):
+            ids = shared(h, side, name)
+            table[(_side(h[ids], side[ids], salt, split) << np.uint64(split) >> np.uint64(64 - (bits - split))).astype(np.int64)] = 1
+        q = table.reshape(-1, 4)
+        packed = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
+        out = [packed.tobytes(), *(np.concatenate([x[gone], get(rest, n, k)]).tobytes() for x, n, k in ((doc, "doc", "<i8"), (start, "start", "<i4"), (span, "span", "<i4")))]
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), **{n: pa.array([x], pa.binary()) for n, x in zip(("table", "doc", "start", "span"), out)}})
+
+    return settle
+
+
+def _shards(docs: DataFrame, table: bytes, sides: bytes, bits: int, split: int, buckets: int) -> DataFrame:
+    """(bucket, last, doc, start, size, span): the shards, by bucket, of the strings whose side ``sides`` marks, cut to the starts that reach there."""
+    bundle, marked = docs.sparkSession.sparkContext.broadcast(table), docs.sparkSession.sparkContext.broadcast(sides)
+    names = ["bucket", "last", "doc", "start", "size", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -157,40 +275,35 @@ def _shards(docs: DataFrame, table: bytes, bits: int, buckets: int) -> DataFrame
 
         def flush() -> Iterator[pa.RecordBatch]:
             doc, start, span, h, name = (np.concatenate([x[k] for x in held]) for k in range(5))
-            ctx = [s for x in held for s in x[5]]
-            # of equal strings the smallest text's stay; those of other texts are settled
-            order = np.lexsort((start, doc, name, h))
-            hs, ns, ds = h[order], name[order], doc[order]
-            head = np.append(True, (hs[1:] != hs[:-1]) | (ns[1:] != ns[:-1]))
-            least = ds[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
-            gone, kept = order[ds > least], order[ds == least]
-            empty = b""
-            if len(gone):
-                yield batch([(-1, empty, doc[gone], start[gone], empty, (span[gone] + LENGTH - 1).astype(np.int32))])
-            own = ((h[kept] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            kept, own = kept[np.argsort(own, kind="stable")], np.sort(own, kind="stable")
-            for k in np.split(np.arange(len(kept)), np.flatnonzero(np.diff(own)) + 1) if len(kept) else []:
+            strings = [s for x in held for s in x[5]]
+            order, least = _least_of(doc, start, h, name)
+            kept = order[doc[order] == least]  # other texts' copies are settled
+            own = ((h[kept] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            turn = np.argsort(own, kind="stable")
+            kept, own = kept[turn], own[turn]
+            for k in np.split(np.arange(len(kept)), np.flatnonzero(np.diff(own)) + 1):
                 ids = kept[k]
-                strings = [ctx[i] for i in ids]
-                yield batch([(int(own[k[0]]), transform(strings), doc[ids], start[ids], np.array(list(map(len, strings)), np.int32), span[ids].astype(np.int32))])
-
-        for b in batches:
-            ids = b.column("doc").to_numpy()
-            for first, data, starts in gathered(b.column("__t").to_pylist()):
-                sums = prefix_sums(data)
-                row, lo, hi, h = anchor_runs(data, starts, sums)
-                pick = np.flatnonzero(classes_of(h, bundle.value, bits))
-                if not len(pick):
-                    continue
-                row, lo, hi, h = row[pick], lo[pick], hi[pick], h[pick]
-                end = hi + LENGTH
-                name = mixed((sums[end] - sums[lo]) * _powers(len(data) + 1)[1][lo] + (end - lo).astype(np.uint64))
-                whole = (data + np.uint8(1)).tobytes()  # UTF-8 holds no 255, so 0 is free to end strings
-                held.append((ids[first + row], (lo - starts[row]).astype(np.int64), hi - lo + 1, h, name, [whole[a:z] for a, z in zip(lo.tolist(), end.tolist())]))
-                size += int((end - lo).sum())
-                if size >= SHARD_BYTES:
-                    yield from flush()
-                    held, size = [], 0
+                mine = [strings[i] for i in ids]
+                yield _batch([(int(own[k[0]]), transform(mine), doc[ids], start[ids], np.array(list(map(len, mine)), np.int32), span[ids])], names)
+
+        for doc, start, span, h, name, left, right, data, lo, end, at in _candidates(batches, bundle.value, bits):
+            to_left = (left > 0) & (classes_of(_side(h, left, 1, split), marked.value, bits) > 0)
+            to_right = (right > 0) & (classes_of(_side(h, right, 2, split), marked.value, bits) > 0)
+            pick = np.flatnonzero(to_left | to_right)
+            if not len(pick):
+                continue
+            # starts up to SIDE before the anchor hold its left side, starts from there on its right side
+            first = np.where(to_left, lo, np.maximum(lo, at - SIDE))[pick]
+            last = np.where(to_right, end - LENGTH, np.minimum(end - LENGTH, at - SIDE))[pick]
+            doc, h, name = doc[pick], h[pick], mixed(name[pick] + to_left[pick] + np.uint64(2) * to_right[pick])
+            start, span = (start[pick] + (first - lo[pick])).astype(np.int32), (last - first + 1).astype(np.int32)
+            lo, end = first, last + LENGTH
+            whole = (data + np.uint8(1)).tobytes()  # UTF-8 holds no 255, so 0 is free to end strings
+            held.append((doc, start, span, h, name, [whole[a:z] for a, z in zip(lo.tolist(), end.tolist())]))
+            size += int((end - lo).sum())
+            if size >= SHARD_BYTES:
+                yield from flush()
+                held, size = [], 0
         if held:
             yield from flush()
 
@@ -200,7 +313,7 @@ def _shards(docs: DataFrame, table: bytes, bits: int, buckets: int) -> DataFrame
 def _merge(t: pa.Table) -> pa.Table:
     """(doc, start, span) of the marked starts of one bucket, as runs of neighbouring starts."""
     get = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
-    last, doc, start, size, span = get("last", np.uint8), get("doc", "<i8"), get("start", "<i8"), get("size", "<i4"), get("span", "<i4")
+    last, doc, start, size, span = get("last", np.uint8), get("doc", "<i8"), get("start", "<i4"), get("size", "<i4"), get("span", "<i4")
     rows, run = merged_intervals(last, LENGTH)
     found = row_places_all(last, size)
     doc, start, span = np.concatenate(doc), np.concatenate(start), np.concatenate(span)
@@ -234,17 +347,26 @@ def repeat_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null")
     total = own.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
     table, bits = class_table(own.select("__t"), _anchor_hashes, total // 16)
-    buckets = max(1, math.ceil(total * 2 / MERGE_BYTES))
-    shards = staged(_shards(own, table, bits, buckets), "suffix-shards")
-    merged = shards.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge, "doc long, lo long, hi long")
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    split = max(0, min(math.ceil(math.log2(max(1.0, total / 40 / HELD_RUNS))), bits - 2))
+    settled = staged(_named_strings(own, table, bits, split).groupBy("bucket").applyInArrow(_settle(bits, split), "bucket long, table binary, doc binary, start binary, span binary"), "suffix-settled")
+    sides = bytearray(1 << (bits - 2))
+    width = len(sides) >> split
+    for r in settled.select("bucket", "table").toLocalIterator():  # together as large as the class table
+        sides[r["bucket"] * width : (r["bucket"] + 1) * width] = r["table"]
+    shards = _shards(own, table, bytes(sides), bits, split, max(1, math.ceil(total / 8 / MERGE_BYTES)))
+    merged = shards.groupBy("bucket").applyInArrow(_merge, "doc long, lo long, hi long")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, s, n in zip(b.column("doc"), b.column("start"), b.column("span")):
-                d, s, n = np.frombuffer(d.as_py(), "<i8"), np.frombuffer(s.as_py(), "<i8"), np.frombuffer(n.as_py(), "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(s + n)], names=["doc", "lo", "hi"])
-
-    local = shards.where("bucket < 0").select("doc", "start", "span").mapInArrow(settled, "doc long, lo long, hi long")
+                d, s, n = np.frombuffer(d.as_py(), "<i8"), np.frombuffer(s.as_py(), "<i4").astype(np.int64), np.frombuffer(n.as_py(), "<i4")
+                order = np.lexsort((s, d))
+                d, s, hi = d[order], s[order], s[order] + n[order] + LENGTH - 1
+                # spans of a text that touch become one before they are shuffled
+                new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] > hi[:-1]))) if len(d) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(s[new]), pa.array(np.maximum.reduceat(hi, new) if len(d) else hi)], names=["doc", "lo", "hi"])
+
+    local = settled.select("doc", "start", "span").mapInArrow(unpacked, "doc long, lo long, hi long")
     return merged.union(local).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -266,8 +388,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 n, removed, count, kept = [], [], [], []
                 for t, s in zip(part.column("__t").to_pylist(), part.column("spans").to_pylist()):
                     data = (t or "").encode("utf-8", "replace")
