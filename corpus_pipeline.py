@@ -18,6 +18,8 @@ from graphloom.llm.common import held_out, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 RANKS = "byte_bpe_50k.tiktoken"
+#: Repeated runs of lines go from as many words on, however few the lines.
+PASSAGE_WORDS = 50
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; a document of which nothing is left goes."""
-    found = line_dedup.dedup_lines(docs.select(*COLUMNS)).where("n_removed_lines < n_lines or n_lines = 0")
+    """Deletes later repeated runs of three lines or of PASSAGE_WORDS words; a document of which nothing is left goes."""
+    found = line_dedup.dedup_lines(docs.select(*COLUMNS), words=PASSAGE_WORDS).where("n_removed_lines < n_lines or n_lines = 0")
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -4,14 +4,17 @@ Every window of RUN consecutive lines with a word selects its least line hash as
 windows share one. Fingerprints that occur once drop out; the windows around the others are joined on
 their content to the earliest such window, and neighbouring matches extend each other, both ways, to
 maximal runs. A line goes when a window covers it whose like begins earlier, by id and then by place.
+With ``words`` the guarantee also depends on what a run holds: windows of one or two lines of that many
+words together count too, so every repeated run of RUN lines, or of ``words`` words, is sure to go.
 
 Defined results: a null text stays null and has no lines; lines without a word never match and stay;
-texts with fewer than RUN lines lose nothing; a text that loses every line is empty; rows repeated in
+texts with fewer than RUN lines lose nothing but runs of ``words`` words; a text that loses every line is empty; rows repeated in
 id are at one place and do not delete each other; extra columns pass through.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import WORD_RE
+
 #: Lines of a window: any repeated run of as many is sure to be found.
 RUN = 3
 BLANKS = " \t\x0b\x0c\r"
+WORD = re.compile(WORD_RE)
 ADDED = {"n_lines", "n_removed_lines", "n_runs"}
 
 
@@ -33,46 +39,55 @@ def worded(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip(BLANKS)]
 
 
-def windows(lines: list[str], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, content hash) of each window of RUN lines with a word."""
+def windows(lines: list[str], at: list[int], words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, fingerprint, content hash) of each window of RUN lines with a word, and of each shorter one of ``words`` words."""
     h = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in at], np.uint64)
-    n = len(h) - RUN + 1
-    if n < 1:
-        return h[:0], h[:0]
-    least, content = h[:n].copy(), np.zeros(n, np.uint64)
-    for k in range(RUN):
-        least = np.minimum(least, h[k : k + n])
-        content = (content ^ (content >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    return least, content
-
-
-def repeated_windows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, starts): the windows of each text, by place, that repeat an earlier one."""
+    held = np.array([len(WORD.findall(lines[i])) for i in at] if words else [], np.int64)
+    out = []
+    for length in range(1 if words else RUN, RUN + 1):
+        n = max(0, len(h) - length + 1)
+        least = h[:n].copy()
+        content = np.full(n, 0 if length == RUN else length, np.uint64)  # windows of different lengths are different
+        for k in range(length):
+            least = np.minimum(least, h[k : k + n])
+            content = (content ^ (content >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        place = np.arange(n)
+        if length < RUN:
+            place = np.flatnonzero(sum(held[k : k + n] for k in range(length)) >= words)
+        out.append((place, np.full(len(place), length), least[place], content[place]))
+    place, size, least, content = (np.concatenate(x) for x in zip(*out))
+    return place, size, least, content
+
+
+def repeated_windows(docs: DataFrame, text: str, key: str, words: int | None = None) -> DataFrame:
+    """(doc, starts): the windows of each text, by place and length, that repeat an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, place, mark, content = [], [], [], []
+            doc, place, size, mark, content = [], [], [], [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("__t").to_pylist()):
-                f, c = windows(*worded(t))
+                p, s, f, c = windows(*worded(t), words)
                 doc.append(np.full(len(f), d, np.int64))
-                place.append(np.arange(len(f)))
+                place.append(p)
+                size.append(s)
                 mark.append(f)
                 content.append(c)
             join = lambda x: np.concatenate(x) if x else np.empty(0)
-            yield pa.RecordBatch.from_arrays([pa.array(join(doc).astype(np.int64)), pa.array(join(place).astype(np.int64)), pa.array(join(mark).astype(np.uint64).view(np.int64)), pa.array(join(content).astype(np.uint64).view(np.int64))], names=["doc", "place", "mark", "content"])
+            cols = [pa.array(join(x).astype(np.int64)) for x in (doc, place, size)]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(join(x).astype(np.uint64).view(np.int64)) for x in (mark, content)]], names=["doc", "place", "size", "mark", "content"])
 
-    found = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null").mapInArrow(run, "doc long, place long, mark long, content long")
+    found = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null").mapInArrow(run, "doc long, place long, size long, mark long, content long")
     # one aggregate per window: its earliest place; a fingerprint seen once has no group of two
-    first = found.groupBy("mark", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = found.join(first, ["mark", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("doc").agg(F.collect_set("place").alias("starts"))
+    first = found.groupBy("size", "mark", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    later = found.join(first, ["size", "mark", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
+    return later.groupBy("doc").agg(F.collect_set(F.struct("place", "size")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``, and n_lines (with a word), n_removed_lines and n_runs."""
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
+    """``docs`` with later repeated runs of RUN lines, or of ``words`` words, deleted from ``text``, and n_lines (with a word), n_removed_lines and n_runs."""
     fields = [f for f in docs.schema.fields if f.name.lower() not in ADDED]
     names = [f.name for f in fields]
-    starts = repeated_windows(docs, text, key).select(F.col("doc").alias("__doc"), F.col("starts").alias("__starts"))
+    starts = repeated_windows(docs, text, key, words).select(F.col("doc").alias("__doc"), F.col("starts").alias("__starts"))
     rows = docs.select(*[docs[f"`{n}`"] for n in names], docs[key].cast("long").alias("__key")).join(starts, F.col("__key") == F.col("__doc"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +96,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             for t, s in zip(b.column(text).to_pylist(), b.column("__starts").to_pylist()):
                 lines, at = worded(t)
                 hit = np.zeros(len(at), bool)
-                for i in s or []:
-                    hit[i : i + RUN] = True
+                for w in s or []:
+                    hit[w["place"] : w["place"] + w["size"]] = True
                 drop = {at[i] for i in np.flatnonzero(hit)}
                 out.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else t)
                 n.append(len(at))

@@ -64,6 +64,21 @@ def test_line_dedup(spark, docs, rows):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_by_words(spark):
+    rng = random.Random(8)
+    line, half, rest = prose(rng, 50), prose(rng, 30), prose(rng, 20)
+    parts = [[line, half, rest], [line], [half, rest], [half, prose(rng, 20)], [prose(rng, 9), line, " ", prose(rng, 9)], [prose(rng, 9), half, "", rest, prose(rng, 9)], [line[: line.rindex(" ")]] * 2, [rest, half], [line, rest]]
+    table = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(parts)] + [(None, line)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines, r.n_runs) for r in line_dedup.dedup_lines(table, words=50).collect()}
+    a, b = parts[4], parts[5]
+    assert got[0] == ("\n".join(parts[0]), 3, 0, 0) and got[1] == ("", 1, 1, 1) and got[2] == ("", 2, 2, 1)
+    assert got[3] == ("\n".join(parts[3]), 2, 0, 0) and got[4] == ("\n".join([a[0], " ", a[3]]), 3, 1, 1)
+    assert got[5] == ("\n".join([b[0], "", b[4]]), 4, 2, 1) and got[6][2] == 0  # 49 words a line, 98 words once
+    assert got[7] == ("\n".join(parts[7]), 2, 0, 0) and got[8] == (rest, 2, 1, 1) and got[None] == (line, 1, 0, 0)
+    plain = {r.doc_id: r.n_removed_lines for r in line_dedup.dedup_lines(table).collect()}
+    assert not any(plain.values())
+
+
 def test_language_id(spark, docs):
     rng = random.Random(1)
     own = {"x": "thon ing ble wh er".split(), "y": "ció ado ez ñas que".split()}
