@@ -36,10 +36,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of linked documents."""
+    """Keeps the document of the smallest id of each group of linked documents; one without an id has no links and stays."""
     groups = jaccard.similar_groups(docs)
     firsts = groups.where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(firsts, "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS)
+    kept = rows.where("doc_id is not null").join(firsts, "doc_id", "left_semi").select(*COLUMNS)
+    return kept.unionByName(rows.where("doc_id is null"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,11 @@ def test_stages_take_effect(spark):
         else:
             ids = {r.doc_id: r.text for r in rows}
         docs = out
+
+
+def test_near_duplicates_keeps_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:59])), (3, "a text of its own"), (None, "another text of its own"), (None, " ".join(words)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), t or "") for i, t in texts if i != 2)
