@@ -1,14 +1,16 @@
-"""Main text of raw pages: markup decides what it can, a suffix array per host decides the rest.
+"""Main text of raw pages: markup drops what it names, a suffix array per host decides about the rest.
 
 A page is read into blocks. Menus, headers, footers, asides, forms, notices, adverts, comments and
-what is never shown are dropped by their elements, classes and roles; blocks inside an ``article`` or
-``main`` are content, also where sites mirror them. What markup leaves open, in pages without such an
-element, goes to its host's suffix array: the token streams of the host's pages stand end to end,
-substrings of MIN_TOKENS tokens or more that occur on MIN_PAGES distinct pages are boilerplate, and a
-block that they cover is removed; unique runs stay.
+what is never shown are dropped by their elements, classes and roles. All other blocks, inside an
+``article`` or ``main`` or not, go to their host's suffix array: the token streams of the host's pages
+stand end to end, substrings of MIN_TOKENS tokens or more that occur on MIN_PAGES distinct pages are
+boilerplate, and a block that they cover is removed; unique runs stay. Markup restricts this verdict
+in one case: where boilerplate would take more than half the words inside ``article`` or ``main``, these
+are an article that other pages show too, and its blocks stay.
 
 Defined results: null, empty or tag-less input gives its own text, empty where there is none; unclosed
-elements end with their parent; pages of one stream count once, so mirrors do not remove each other;
+elements end with their parent; pages of one article, or of one stream where there is none, count once,
+so mirrors do not remove each other;
 a host with many pages is split by hash into groups of about GROUP_PAGES, each with an array of its own.
 """
 
@@ -24,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import staged
-
 MIN_TOKENS, MIN_PAGES, GROUP_PAGES = 8, 3, 2000
 
 # Fixed values of HTML: elements by their part in a page.
@@ -59,10 +59,9 @@ def _is_beside(tag: str, attrs: str, in_main: bool) -> bool:
     return bool(words & BESIDE) or not in_main and bool(words & ATOP)
 
 
-def page_blocks(page: str | None) -> tuple[list[str], list[str]]:
-    """(content, open): the blocks inside article or main, and the other blocks that markup does not drop, in page order."""
-    content: list[str] = []
-    other: list[str] = []
+def page_stream(page: str | None) -> list[tuple[str, bool]]:
+    """(block, whether it is inside article or main) of every block that markup does not drop, in page order."""
+    found: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
     beside = mains = 0
     piece: list[str] = []
@@ -74,7 +73,7 @@ def page_blocks(page: str | None) -> tuple[list[str], list[str]]:
             words = " ".join(html.unescape("".join(piece)).split())
             piece.clear()
             if words:
-                (content if mains else other).append(words)
+                found.append((words, mains > 0))
 
     for m in _TOKEN.finditer(text):
         if not beside and m.start() > at:
@@ -111,7 +110,13 @@ def page_blocks(page: str | None) -> tuple[list[str], list[str]]:
     if not beside:
         piece.append(text[at:])
         close()
-    return content, other
+    return found
+
+
+def page_blocks(page: str | None) -> tuple[list[str], list[str]]:
+    """(content, open): the blocks inside article or main, and the other blocks that markup does not drop, in page order."""
+    found = page_stream(page)
+    return [x for x, m in found if m], [x for x, m in found if not m]
 
 
 def _host(url: str | None) -> str:
@@ -119,19 +124,31 @@ def _host(url: str | None) -> str:
 
 
 def _read(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, content, open): the blocks of every page."""
+    """(page_id, url, host, blocks, inside): the blocks of every page, and which of them are inside article or main."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                found = [page_blocks(x) for x in part.column("html").to_pylist()]
-                # where a page has an article, what stands outside it is not its main text
-                body = ["\n".join(c) if c else None for c, _ in found]
-                rest = [[] if c else o for c, o in found]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([_host(u) for u in part.column("url").to_pylist()]), pa.array(body, pa.string()), pa.array(rest, pa.list_(pa.string()))], names=["page_id", "url", "host", "content", "open"])
+                found = [page_stream(x) for x in part.column("html").to_pylist()]
+                blocks = pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string()))
+                inside = pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([_host(u) for u in part.column("url").to_pylist()]), blocks, inside], names=["page_id", "url", "host", "blocks", "inside"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, host string, blocks array<string>, inside array<boolean>")
+
+
+def stream_name(blocks: list[str], inside: list[bool]) -> tuple[str, ...]:
+    """What mirrors of a page have in common: its article, or all of its blocks where there is none."""
+    return tuple(x for x, m in zip(blocks, inside) if m) or tuple(blocks)
+
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, host string, content string, open array<string>")
+def kept_text(blocks: list[str], inside: list[bool], covered: list[bool]) -> str:
+    """The blocks that stay; an article of which more than half would go is a mirrored one and stays whole."""
+    words = [len(x.split()) for x in blocks]
+    gone = sum(n for n, m, d in zip(words, inside, covered) if m and d)
+    mirrored = 2 * gone > sum(n for n, m in zip(words, inside) if m)
+    return "\n".join(x for x, m, d in zip(blocks, inside, covered) if not d or m and mirrored)
 
 
 def suffix_ranks(stream: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +168,13 @@ def suffix_ranks(stream: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return order, rank
 
 
-def boilerplate(pages: list[list[str]]) -> list[list[bool]]:
-    """For each block of each page of one host: whether repeated long substrings cover it."""
+def boilerplate(pages: list[list[str]], names: list[tuple[str, ...]] | None = None) -> list[list[bool]]:
+    """For each block of each page of one host: whether repeated long substrings cover it; pages of one name count once."""
     ids: dict[str, int] = {"\n": 0}
     tokens, page_of, cuts = [], [], []
     first: dict[tuple[str, ...], int] = {}
     for p, blocks in enumerate(pages):
-        same = first.setdefault(tuple(blocks), p)
+        same = first.setdefault(tuple(blocks) if names is None else names[p], p)
         spans = []
         for x in blocks:
             words = x.split()
@@ -185,16 +202,14 @@ def boilerplate(pages: list[list[str]]) -> list[list[bool]]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
-    read = staged(_read(pages), "html-blocks")
-    whole = read.where("size(open) = 0").select("page_id", "url", F.coalesce("content", F.lit("")).alias("text"))
-    rest = read.where("size(open) > 0").select("page_id", "url", "host", "open")
-    groups = rest.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("parts"))
-    rest = rest.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
+    read = _read(pages)
+    groups = read.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("parts"))
+    rest = read.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
 
     def clean(t: pd.DataFrame) -> pd.DataFrame:
-        blocks = [list(x) for x in t["open"]]
-        drop = boilerplate(blocks)
-        return pd.DataFrame({"page_id": t["page_id"], "url": t["url"], "text": ["\n".join(x for x, d in zip(b, k) if not d) for b, k in zip(blocks, drop)]})
+        blocks, inside = [list(x) for x in t["blocks"]], [list(x) for x in t["inside"]]
+        drop = boilerplate(blocks, [stream_name(b, m) for b, m in zip(blocks, inside)])
+        return pd.DataFrame({"page_id": t["page_id"], "url": t["url"], "text": [kept_text(b, m, d) for b, m, d in zip(blocks, inside, drop)]})
 
     decided = rest.groupBy("host", "part").applyInPandas(clean, "page_id long, url string, text string")
-    return whole.unionByName(decided).withColumn("n_chars", F.char_length("text").cast("long"))
+    return decided.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -138,6 +138,21 @@ def test_html_boilerplate_and_unique_runs(spark):
     assert html_text.boilerplate([["a b c d e f g h i"]] * 9) == [[False]] * 9  # mirrors count once
 
 
+def test_html_articles_meet_the_host_array(spark):
+    rng = random.Random(4)
+    promo, tale = "join our list of friends now and save on every order", prose(rng, 40)
+    story = [prose(rng, 30) for _ in range(6)]
+    pages = [(i, f"http://h/{i}", f"<article><h1>Title {i}</h1><p>{story[i]}</p><p>{promo}</p></article>") for i in range(4)]
+    pages += [(4, "http://h/4", f"<article><a>teaser</a></article><div>{story[4]}</div><div>{promo}</div>")]
+    pages += [(i, f"http://h/{i}", f"<main><p>{tale}</p><p>view {i}</p></main>") for i in range(5, 9)]  # one article, nearly the same page
+    pages += [(i, f"http://h/{i}", f"<div>at {i}</div><main><p>{story[5]}</p></main>") for i in range(9, 13)]  # mirrors
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\n{story[i]}" for i in range(4)]
+    assert got[4] == f"teaser\n{story[4]}"
+    assert [got[i] for i in range(5, 9)] == [f"{tale}\nview {i}" for i in range(5, 9)]
+    assert [got[i] for i in range(9, 13)] == [f"at {i}\n{story[5]}" for i in range(9, 13)]
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 3, 300)
