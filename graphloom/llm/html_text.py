@@ -11,22 +11,31 @@ are an article that other pages show too, and its blocks stay.
 Defined results: null, empty or tag-less input gives its own text, empty where there is none; unclosed
 elements end with their parent; pages of one article, or of one stream where there is none, count once,
 so mirrors do not remove each other;
-a host with many pages is split by hash into groups of about GROUP_PAGES, each with an array of its own.
+a host of many pages or bytes is split by hash into parts of about GROUP_PAGES or GROUP_BYTES. Its
+windows of MIN_TOKENS tokens are counted over all parts, by hash, so the split changes no result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_TOKENS, MIN_PAGES, GROUP_PAGES = 8, 3, 2000
+from graphloom.llm.frequency import class_table, classes_of
+from graphloom.llm.shingles import mixed
+
+MIN_TOKENS, MIN_PAGES, GROUP_PAGES, GROUP_BYTES = 8, 3, 2000, 32_000_000
+#: Tokens of the pieces of a window whose least hash stands for it when windows on one page only are ruled out.
+PIECE = 6
+#: Windows that a task holds before it hands them on.
+HELD = 1_000_000
 
 # Fixed values of HTML: elements by their part in a page.
 UNSEEN = "script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select|button|canvas|audio|video"
@@ -123,19 +132,141 @@ def _host(url: str | None) -> str:
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").split("/")[0].split("?")[0].split("#")[0].lower()
 
 
-def _read(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks, inside): the blocks of every page, and which of them are inside article or main."""
+def _sizes(pages: DataFrame) -> DataFrame:
+    """(host, parts) of every host: the parts it is split into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_host(u) for u in b.column("url").to_pylist()], pa.string()), b.column("size")], names=["host", "size"])
+
+    sizes = pages.select("url", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size")).mapInArrow(run, "host string, size long")
+    return sizes.groupBy("host").agg(F.ceil(F.greatest(F.count("*") / GROUP_PAGES, F.sum("size") / GROUP_BYTES, F.lit(1))).alias("parts"))
+
+
+#: The number of a split host's first part, from 1 on, and of its parts.
+Split = dict[str, tuple[int, int]]
+
+
+def _part(page: str | None, page_id: int | None, url: str | None, split: tuple[int, int]) -> int:
+    return split[0] + xxhash.xxh3_64_intdigest(f"{page_id}\n{url}\n{page}") % split[1]
+
+
+def _pack(stream: list[tuple[str, bool]]) -> bytes:
+    return zlib.compress("\n".join("-+"[m] + x for x, m in stream).encode("utf-8", "surrogatepass"))  # a block holds no line break
+
+
+def _unpack(packed: bytes) -> tuple[list[str], list[bool]]:
+    lines = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+    found = lines.split("\n") if lines else []
+    return [x[1:] for x in found], [x[0] == "+" for x in found]
+
+
+def _read(pages: DataFrame, split: Split) -> DataFrame:
+    """(page_id, url, host, part, packed), split hosts by their parts and the others, of part 0, by name: the blocks of every page, and which of them are inside article or main, compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                found = [page_stream(x) for x in part.column("html").to_pylist()]
-                blocks = pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string()))
-                inside = pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([_host(u) for u in part.column("url").to_pylist()]), blocks, inside], names=["page_id", "url", "host", "blocks", "inside"])
+                ids, urls, raw = (part.column(x).to_pylist() for x in ("page_id", "url", "html"))
+                hosts = [_host(u) for u in urls]
+                parts = [_part(x, i, u, split[h]) if h in split else 0 for x, i, u, h in zip(raw, ids, urls, hosts)]
+                hosts = ["" if k else h for h, k in zip(hosts, parts)]
+                packed = [_pack(page_stream(x)) for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "part", "packed"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, host string, part long, packed binary")
+
+
+def _rolled(h: np.ndarray, length: int) -> np.ndarray:
+    n = max(0, len(h) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(length):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return out
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, host string, blocks array<string>, inside array<boolean>")
+
+def _tokens(blocks: list[str]) -> np.ndarray:
+    """The hash of each token of a page's stream; a block ends with a token of its own."""
+    return np.array([xxhash.xxh3_64_intdigest(w) for x in blocks for w in (*x.split(), "\n")], np.uint64)
+
+
+def marked_windows(host: str, blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(window, mark): the windows of a page, and the least hash of a piece of each, both mixed with the host: equal windows have equal marks."""
+    h = _tokens(blocks)
+    w, piece = _rolled(h, MIN_TOKENS), _rolled(h, PIECE)
+    mark = piece[: len(w)].copy()
+    for k in range(1, MIN_TOKENS - PIECE + 1):
+        mark = np.minimum(mark, piece[k : k + len(w)])
+    salt = np.uint64(xxhash.xxh3_64_intdigest(host))
+    return mixed(w ^ salt), mixed(mark ^ salt)
+
+
+def covered_blocks(host: str, blocks: list[str], hot: np.ndarray) -> list[bool]:
+    """For each block of a page: whether windows that are in ``hot``, which is sorted, cover it."""
+    w = marked_windows(host, blocks)[0]
+    ends = np.cumsum([len(x.split()) + 1 for x in blocks], dtype=np.int64)
+    edge = np.zeros((ends[-1] if len(ends) else 0) + 1, np.int64)
+    if len(w) and len(hot):
+        at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + MIN_TOKENS, -1)
+    covered = np.cumsum(edge) > 0
+    return [bool(covered[a : z - 1].all()) for a, z in zip(np.append(0, ends[:-1]), ends)]
+
+
+def _hot_windows(pages: DataFrame, split: Split) -> DataFrame:
+    """(host, part, w), keyed like ``_read``: the windows of each part of the split hosts that MIN_PAGES distinct pages of the whole host hold."""
+
+    def of_split_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([_host(u) in split for u in b.column("url").to_pylist()], pa.bool_()))
+
+    some = pages.select("page_id", "url", "html").mapInArrow(of_split_hosts, "page_id long, url string, html string")
+
+    def hashes(rows: list[dict[str, str | None]]) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *[np.unique(marked_windows(_host(x["url"]), [y for y, _ in page_stream(x["html"])])[1]) for x in rows]])
+
+    size = some.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    table, bits = class_table(some.select(F.struct("url", "html")), hashes, size // 12)
+    bundle = pages.sparkSession.sparkContext.broadcast(table)  # of at most 2**28 / 4 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            n = [len(w) for *_, w in held]
+            w = np.concatenate([w for *_, w in held])
+            part, name = (np.repeat(np.array(x, np.uint64), n) for x in ([p for p, *_ in held], [m for _, m, _ in held]))
+            order = np.lexsort((name, part, w))
+            part, name, w = part[order], name[order], w[order]
+            first = np.append(True, (w[1:] != w[:-1]) | (part[1:] != part[:-1]))
+            new = first | np.append(True, name[1:] != name[:-1])
+            part, name, w, first = (x[new] for x in (part, name, w, first))
+            # MIN_PAGES names of a part are enough to tell whether the host has as many
+            few = np.arange(len(w)) - np.flatnonzero(first)[np.cumsum(first) - 1] < MIN_PAGES
+            return pa.RecordBatch.from_arrays([pa.array(x[few].view(np.int64)) for x in (part, w, name)], names=["part", "w", "name"])
+
+        for b in batches:
+            for i, u, x in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                stream, host = page_stream(x), _host(u)
+                blocks = [y for y, _ in stream]
+                w, mark = marked_windows(host, blocks)
+                w = np.unique(w[classes_of(mark, bundle.value, bits) > 0])  # the others are on one page of the host only
+                if not len(w):
+                    continue
+                name = xxhash.xxh3_64_intdigest("\n".join(stream_name(blocks, [m for _, m in stream])))
+                held.append((_part(x, i, u, split[host]), name, w))
+                size += len(w)
+                if size > HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    found = some.mapInArrow(run, "part long, w long, name long").groupBy("w").agg(F.collect_set("part").alias("parts"), F.collect_set("name").alias("names"))
+    return found.where(F.size("names") >= MIN_PAGES).select(F.lit("").alias("host"), F.explode("parts").alias("part"), "w")
 
 
 def stream_name(blocks: list[str], inside: list[bool]) -> tuple[str, ...]:
@@ -189,8 +320,8 @@ def boilerplate(pages: list[list[str]], names: list[tuple[str, ...]] | None = No
     if len(stream) < MIN_TOKENS:
         return [[False] * len(x) for x in pages]
     order, rank = suffix_ranks(stream, MIN_TOKENS)
-    pair = np.unique(np.stack([rank, owner], 1), axis=0)
-    distinct = np.bincount(pair[:, 0], minlength=len(stream))
+    pair = np.unique(rank * len(pages) + owner)
+    distinct = np.bincount(pair // len(pages), minlength=len(stream))
     hot = distinct[rank] >= MIN_PAGES
     edge = np.zeros(len(stream) + MIN_TOKENS + 1, np.int64)
     at = np.flatnonzero(hot)
@@ -202,14 +333,27 @@ def boilerplate(pages: list[list[str]], names: list[tuple[str, ...]] | None = No
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
-    read = _read(pages)
-    groups = read.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("parts"))
-    rest = read.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-
-    def clean(t: pd.DataFrame) -> pd.DataFrame:
-        blocks, inside = [list(x) for x in t["blocks"]], [list(x) for x in t["inside"]]
-        drop = boilerplate(blocks, [stream_name(b, m) for b, m in zip(blocks, inside)])
-        return pd.DataFrame({"page_id": t["page_id"], "url": t["url"], "text": [kept_text(b, m, d) for b, m, d in zip(blocks, inside, drop)]})
-
-    decided = rest.groupBy("host", "part").applyInPandas(clean, "page_id long, url string, text string")
+    # at most a row for every GROUP_PAGES pages and GROUP_BYTES bytes
+    split, first = {}, 1
+    for row in _sizes(pages).where("parts > 1").orderBy("host").collect():
+        split[row["host"]] = (first, row["parts"])
+        first += row["parts"]
+    read = _read(pages, split)
+
+    def text_of(t: pa.Table, hot: np.ndarray | None) -> pa.Table:
+        found = [_unpack(x) for x in t.column("packed").to_pylist()]
+        blocks, inside = [b for b, _ in found], [m for _, m in found]
+        drop = boilerplate(blocks, [stream_name(b, m) for b, m in zip(blocks, inside)]) if hot is None else [covered_blocks(h, b, hot) for h, b in zip(map(_host, t.column("url").to_pylist()), blocks)]
+        text = pa.array([kept_text(b, m, d) for b, m, d in zip(blocks, inside, drop)], pa.string())
+        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": text})
+
+    def of_host(t: pa.Table) -> pa.Table:
+        return text_of(t, None)
+
+    def of_part(t: pa.Table, hits: pa.Table) -> pa.Table:
+        return text_of(t, np.sort(hits.column("w").to_numpy().view(np.uint64)) if t.num_rows and t.column("part")[0].as_py() else None)
+
+    schema = "page_id long, url string, text string"
+    groups = read.groupBy("host", "part")
+    decided = groups.cogroup(_hot_windows(pages, split).groupBy("host", "part")).applyInArrow(of_part, schema) if split else groups.applyInArrow(of_host, schema)
     return decided.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -153,6 +153,20 @@ def test_html_articles_meet_the_host_array(spark):
     assert [got[i] for i in range(9, 13)] == [f"at {i}\n{story[5]}" for i in range(9, 13)]
 
 
+def test_html_parts_of_a_host_count_together(spark, monkeypatch):
+    rng = random.Random(6)
+    notice, rare, tale = prose(rng, 12), prose(rng, 12), prose(rng, 30)
+    pages = [(i, f"http://h/{i}", f"<article><p>{prose(rng, 30)}</p>{f'<p>{notice}</p>' if i % 7 == 0 else ''}{f'<p>{rare}</p>' if i in (3, 4) else ''}</article>") for i in range(42)]
+    pages += [(i, f"http://h/{i}", f"<main>{tale}</main>") for i in range(50, 60)] + [(99, None, None), (98, "http://h/98", ""), (97, "http://other/1", f"<p>{notice}")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    monkeypatch.setattr(html_text, "GROUP_PAGES", 3)
+    parts = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert parts == whole and len(parts) == len(pages)
+    assert not any(notice in parts[i] for i in range(42)) and rare in parts[3] and rare in parts[4]
+    assert parts[50] == tale and parts[97] == notice and parts[98] == parts[99] == ""
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 3, 300)
