@@ -1,9 +1,9 @@
-"""Line dedup by winnowing: runs of lines that repeat earlier ones are deleted, the first run stays.
+"""Line dedup by hashed windows of lines: runs that repeat earlier ones are deleted, the first run stays.
 
-Every window of RUN consecutive lines with a word selects its least line hash as fingerprint, so equal
-windows share one. Fingerprints that occur once drop out; the windows around the others are joined on
-their content to the earliest such window, and neighbouring matches extend each other, both ways, to
-maximal runs. A line goes when a window covers it whose like begins earlier, by id and then by place.
+Every window of RUN consecutive lines with a word is hashed, and windows of one hash are grouped to the
+earliest of them. No minima are selected: this replaces winnowing, which sends fewer fingerprints but
+has to extend their matches. A line goes when a window covers it whose like begins earlier, by id and
+then by place, so neighbouring windows make up maximal runs.
 With ``words`` the guarantee also depends on what a run holds: windows of one or two lines of that many
 words together count too, so every repeated run of RUN lines, or of ``words`` words, is sure to go.
 
@@ -39,24 +39,22 @@ def worded(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip(BLANKS)]
 
 
-def windows(lines: list[str], at: list[int], words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, length, fingerprint, content hash) of each window of RUN lines with a word, and of each shorter one of ``words`` words."""
+def windows(lines: list[str], at: list[int], words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, content hash) of each window of RUN lines with a word, and of each shorter one of ``words`` words."""
     h = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in at], np.uint64)
     held = np.array([len(WORD.findall(lines[i])) for i in at] if words else [], np.int64)
     out = []
     for length in range(1 if words else RUN, RUN + 1):
         n = max(0, len(h) - length + 1)
-        least = h[:n].copy()
         content = np.full(n, 0 if length == RUN else length, np.uint64)  # windows of different lengths are different
         for k in range(length):
-            least = np.minimum(least, h[k : k + n])
             content = (content ^ (content >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
         place = np.arange(n)
         if length < RUN:
             place = np.flatnonzero(sum(held[k : k + n] for k in range(length)) >= words)
-        out.append((place, np.full(len(place), length), least[place], content[place]))
-    place, size, least, content = (np.concatenate(x) for x in zip(*out))
-    return place, size, least, content
+        out.append((place, np.full(len(place), length), content[place]))
+    place, size, content = (np.concatenate(x) for x in zip(*out))
+    return place, size, content
 
 
 def repeated_windows(docs: DataFrame, text: str, key: str, words: int | None = None) -> DataFrame:
@@ -64,22 +62,21 @@ def repeated_windows(docs: DataFrame, text: str, key: str, words: int | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, place, size, mark, content = [], [], [], [], []
+            doc, place, size, content = [], [], [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("__t").to_pylist()):
-                p, s, f, c = windows(*worded(t), words)
-                doc.append(np.full(len(f), d, np.int64))
+                p, s, c = windows(*worded(t), words)
+                doc.append(np.full(len(c), d, np.int64))
                 place.append(p)
                 size.append(s)
-                mark.append(f)
                 content.append(c)
             join = lambda x: np.concatenate(x) if x else np.empty(0)
             cols = [pa.array(join(x).astype(np.int64)) for x in (doc, place, size)]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(join(x).astype(np.uint64).view(np.int64)) for x in (mark, content)]], names=["doc", "place", "size", "mark", "content"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(join(content).astype(np.uint64).view(np.int64))], names=["doc", "place", "size", "content"])
 
-    found = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null").mapInArrow(run, "doc long, place long, size long, mark long, content long")
-    # one aggregate per window: its earliest place; a fingerprint seen once has no group of two
-    first = found.groupBy("size", "mark", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = found.join(first, ["size", "mark", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
+    found = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null").mapInArrow(run, "doc long, place long, size long, content long")
+    # one aggregate per window: its earliest place; a window seen once has no group of two
+    first = found.groupBy("size", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    later = found.join(first, ["size", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
     return later.groupBy("doc").agg(F.collect_set(F.struct("place", "size")).alias("starts"))
 
 
