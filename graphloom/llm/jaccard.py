@@ -12,7 +12,8 @@ common with its partner, so only those are posted, and none that occurs in a sin
   set; heavy lists are scanned whole, in blocks of bounded bytes, by counting overlaps.
 
 Links only serve to connect, so no list emits all pairs of its sets. Defined results: a text without
-words has an empty set and links with nothing; rows repeated in id and text count once; a null id is
+words has an empty set and links with nothing; rows repeated in id and text count once; an
+id with several texts has a set, and links, for each of them; a null id is
 a row without links; extra columns are not read.
 """
 
@@ -56,6 +57,15 @@ def subset_sizes(n: int) -> list[int]:
     return sorted({needed(n, m) for m in range(-(-PERCENT * n // 100), 100 * n // PERCENT + 1) if needed(n, m) <= min(n, m)})
 
 
+def _sums(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two sums of the mixed hashes of each set, of sizes ``n``."""
+    ends, sums = np.cumsum(n), []
+    for salt in (1, 2):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(salt)))])
+        sums.append((total[ends] - total[ends - n]).view(np.int64))
+    return sums
+
+
 def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, n, h1, h2): the size of each set and two sums of its mixed hashes, which name it."""
 
@@ -63,18 +73,14 @@ def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
         for part in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             owner, h = shingle_sets(part.column("__t").to_pylist())
             n = np.bincount(owner, minlength=part.num_rows)
-            sums = []
-            for salt in (1, 2):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(salt)))])
-                ends = np.cumsum(n)
-                sums.append((total[ends] - total[ends - n]).view(np.int64))
+            sums = _sums(h, n)
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=["doc", "n", "h1", "h2"])
 
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).mapInArrow(run, "doc long, n long, h1 long, h2 long")
 
 
 def _posts(docs: DataFrame, key: str, text: str, table: bytes, bits: int) -> DataFrame:
-    """(doc, n, toks, poss, shingles): for each set that may link, its posted shingles, their places, and all its shingles."""
+    """(doc, n, h1, h2, toks, poss, shingles): for each set that may link, its posted shingles, their places, and all its shingles."""
     bundle = docs.sparkSession.sparkContext.broadcast(table)  # of at most 2**28 / 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +104,10 @@ def _posts(docs: DataFrame, key: str, text: str, table: bytes, bits: int) -> Dat
                 places = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pos, pa.int64()))
                 inside = (mine > 0)[owner]
                 every = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[some])), pa.int32()), pa.array(h[inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(some)), pa.array(n[some], pa.int64()), lists, places, every], names=["doc", "n", "toks", "poss", "shingles"])
+                names = [pa.array(x[some]) for x in _sums(h, n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(some)), pa.array(n[some], pa.int64()), *names, lists, places, every], names=["doc", "n", "h1", "h2", "toks", "poss", "shingles"])
 
-    schema = "doc long, n long, toks array<long>, poss array<long>, shingles array<long>"
+    schema = "doc long, n long, h1 long, h2 long, toks array<long>, poss array<long>, shingles array<long>"
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null").mapInArrow(run, schema)
 
 
@@ -216,7 +223,9 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     same = sums.where("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
     table, bits = class_table(docs.select(F.col(text)), lambda texts: shingle_sets(texts)[1], total)
     posts = staged(_posts(docs, key, text, table, bits), "jaccard-posts")
-    sets = staged(posts.join(same.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-reps")
+    # an id may hold several texts, so a set goes on under a hash of its own
+    first = posts.join(same.select(F.col("rep").alias("doc"), "n", "h1", "h2"), ["doc", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc", "n", "h1", "h2"])
+    sets = staged(first.select(F.col("h1").alias("doc"), "n", "toks", "poss", "shingles"), "jaccard-reps")
     flat = sets.select("doc", "n", F.explode(F.arrays_zip("toks", "poss")).alias("p")).select("doc", "n", F.col("p.toks").alias("tok"), F.col("p.poss").alias("pos"))
     counts = flat.groupBy("tok").agg(F.count("*").alias("entries"), F.sum("n").alias("shingles_of")).where("entries > 1")
     flat = staged(flat.join(counts, "tok"), "jaccard-lists")
@@ -229,6 +238,9 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if boundary:
         links = links.union(_subset_links(sets, boundary))
     found = components(staged(links.distinct(), "jaccard-links"), folder=shared_dir(spark))
-    reps = same.join(found, same["rep"] == found["vid"], "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    linked = staged(same.join(found, same["h1"] == found["vid"]).select("n", "h1", "h2", "rep", "component"), "jaccard-linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ends = linked.join(least, "component").select("n", "h1", "h2", "component_id")
+    reps = same.join(ends, ["n", "h1", "h2"], "left").select("n", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
     out = sums.join(reps, ["n", "h1", "h2"], "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")).distinct()

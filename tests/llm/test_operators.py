@@ -203,6 +203,14 @@ def test_jaccard_join(spark, docs, rows):
     assert jaccard.similar_groups(empty(spark)).count() == 0
 
 
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(7, a), (7, b), (8, a + " end"), (2, b + " end"), (9, "end " + a), (11, "end " + b), (12, a), (13, b)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 2), (7, 2), (7, 7), (8, 7), (9, 7), (11, 2), (12, 7), (13, 2)]
+
+
 def test_jaccard_join_heavy_lists_and_small_sets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HEAVY", 3)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 200)
