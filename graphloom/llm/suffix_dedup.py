@@ -5,12 +5,15 @@ A byte of a text goes when a LENGTH-byte string covers it that also starts in a
 1. Every LENGTH bytes hold an anchor that their content chooses. A table of fixed size says which
    anchors occur in a single text only; strings around those cannot repeat and leave here.
 2. The strings around the other anchors are named by hash. Copies of a whole string in larger texts
-   are settled by the name; what is left are anchors with different strings that share the bytes on one side.
+   are settled by the name (most of the removed bytes of copied texts are found here, not by the merge);
+   what is left are anchors with different strings that share the bytes on one side. A task's strings
+   are written down as a chunk; an anchor range answers each chunk with a bit a string.
 3. Each task gathers the strings around those, as far as that side goes, keeps the smallest text's copy of equal ones, and packs,
    for each anchor range, the strings' Burrows-Wheeler transform: a shard.
-4. The shards of a range are merged by refining their interleave byte by byte with the transforms'
-   own last-to-first steps; no suffix is sorted again. Runs of common prefixes split as the refinement
-   goes, single rows leave, and what is together after LENGTH steps is a repeat interval.
+4. The shards of a range are merged by refining their interleave two bytes a step with the transforms'
+   own last-to-first steps; no suffix is sorted again. A border that first shows after n bytes tells a
+   common prefix shorter than n; single rows leave, and what is together after LENGTH bytes is a repeat
+   interval. Only rows that LENGTH bytes of their string precede take part, as no other row can end a repeat.
 5. In each interval, starts in texts other than the smallest are marked; marked strings are joined to
    runs of bytes per text.
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,32 +109,36 @@ def transform(strings: list[bytes]) -> bytes:
     return text[order - 1].tobytes()
 
 
-def merged_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+def merged_intervals(shards: list[np.ndarray], length: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, interval): the rows, numbered through all shards, whose suffixes share their first ``length`` bytes with another's.
 
-    ``rows`` are in merged order. Step by step each kept row moves to the row of the suffix one byte
-    longer, and a stable sort by that byte refines the interleave; rows alone in their run leave.
+    ``rows`` come in merged order; given some in order to begin with, only these are refined. Step by step each
+    kept row moves to the row of the suffix that is longer by a byte, or by two, and a stable sort by these
+    bytes refines the interleave; rows alone in their run leave.
     """
     last = np.concatenate(shards)
     base = np.cumsum([0, *map(len, shards)])
     forward = np.empty(len(last), np.int32 if len(last) < 2**31 else np.int64)
     for s, b in zip(shards, base):
         forward[np.argsort(s, kind="stable") + b] = np.arange(len(s)) + b
-    rows = np.arange(len(last), dtype=forward.dtype)
-    run = np.zeros(len(last), np.int32)
-    for _ in range(length):
-        c = last[rows]
+    rows = (np.arange(len(last)) if rows is None else rows).astype(forward.dtype)
+    run = np.zeros(len(rows), np.int32)
+    two, pairs = forward[forward], last[forward].astype(np.uint16)
+    pairs = np.where((last > 0) & (pairs > 0), pairs << 8 | last, 0).astype(np.uint16)
+    steps = [(last, forward)] * (length % 2) + [(pairs, two)] * (length // 2)
+    for code, to in steps:
+        c = code[rows]
         keep = np.flatnonzero(c)  # what would start with a string's end is no repeat
-        rows, run, c = rows[keep], run[keep], c[keep]
+        if not len(keep):
+            return rows[:0], run[:0]
+        c = c[keep]
         order = np.argsort(c, kind="stable")
-        c, run, rows = c[order], run[order], forward[rows[order]]
-        if not len(rows):
-            break
+        c, order = c[order], keep[order]
+        run, rows = run[order], to[rows[order]]
         head = np.append(True, (c[1:] != c[:-1]) | (run[1:] != run[:-1]))
-        alone = head & np.append(head[1:], True)
-        run = np.cumsum(head, dtype=np.int32)
-        keep = np.flatnonzero(~alone)
-        rows, run = rows[keep], run[keep]
+        keep = np.flatnonzero(~(head & np.append(head[1:], True)))
+        run = np.cumsum(head, dtype=np.int32)[keep]
+        rows = rows[keep]
     return rows, run
 
 
@@ -189,49 +196,47 @@ def _least_of(doc: np.ndarray, start: np.ndarray, h: np.ndarray, name: np.ndarra
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in c], pa.binary()) for c in cols[1:]]], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c[0], int) else pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in c], pa.binary()) for c in cols], names=names)
 
 
-_NAMED = ["bucket", "h", "name", "left", "right", "doc", "start", "span"]
+_NAMED = ["chunk", "bucket", "h", "name", "left", "right", "doc", "start", "span"]
 
 
 def _named_strings(docs: DataFrame, table: bytes, bits: int, split: int) -> DataFrame:
-    """The runs by anchor range, with hashes of their strings only; runs that a task settles by itself ride along without."""
+    """The runs by chunk of a task and anchor range, with hashes of their strings only; bucket -1 has those that the task settles by itself."""
     bundle = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        chunk = TaskContext.get().partitionId() << 32
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             doc, start, span, h, name, left, right = (np.concatenate([x[k] for x in held]) for k in range(7))
             order, least = _least_of(doc, start, h, name)
             settled = doc[order] > least
             gone, kept = np.sort(order[settled]), order[~settled]
-            rows = []
-            for k, ids in enumerate(np.array_split(gone, 1 << split)):  # in step with the ranges, so none is larger
-                if len(ids):
-                    rows.append((k, b"", b"", b"", b"", doc[ids], start[ids], span[ids]))
+            rows = [(chunk, -1, b"", b"", b"", b"", doc[gone], start[gone], span[gone])] if len(gone) else []
             own = (h[kept] >> np.uint64(64 - split)).astype(np.int64) if split else np.zeros(len(kept), np.int64)
             for ids in np.split(kept, np.flatnonzero(np.diff(own)) + 1):  # kept is in order of the anchors
                 ids = np.sort(ids)  # neighbours in a text compress well
-                rows.append((int(h[ids[0]] >> np.uint64(64 - split)) if split else 0, h[ids], name[ids], left[ids], right[ids], doc[ids], start[ids], span[ids]))
-            yield _batch(rows, _NAMED)
+                rows.append((chunk, int(h[ids[0]] >> np.uint64(64 - split)) if split else 0, h[ids], name[ids], left[ids], right[ids], doc[ids], start[ids], span[ids]))
+            return _batch(rows, _NAMED)
 
         for found in _candidates(batches, bundle.value, bits):
             held.append(found[:7])
             size += len(found[0])
             if size >= HELD_RUNS:
-                yield from flush()
-                held, size = [], 0
+                yield flush()
+                held, size, chunk = [], 0, chunk + 1
         if held:
-            yield from flush()
+            yield flush()
 
-    return docs.mapInArrow(run, "bucket long, h binary, name binary, left binary, right binary, doc binary, start binary, span binary")
+    return docs.mapInArrow(run, "chunk long, bucket long, h binary, name binary, left binary, right binary, doc binary, start binary, span binary")
 
 
 def _settle(bits: int, split: int):
-    """For an anchor range: the runs whose whole string is in a smaller text, and a table of the anchors' sides that different strings share."""
+    """For an anchor range: for each chunk a bit for each of its runs, set where the whole string is in a smaller text; and, under no chunk, a table of the anchors' sides that different strings share."""
 
     def shared(h: np.ndarray, side: np.ndarray, name: np.ndarray) -> np.ndarray:
         """Rows of the (anchor, side) pairs that go with two names or more."""
@@ -245,21 +250,22 @@ def _settle(bits: int, split: int):
         return order[head[np.add.reduceat(other.astype(np.int64), head) > 1]]
 
     def settle(t: pa.Table) -> pa.Table:
-        live = t.filter(pc.greater(pc.binary_length(t.column("h")), 0))
-        rest = t.filter(pc.equal(pc.binary_length(t.column("h")), 0))
-        get = lambda x, name, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(v.as_py(), kind) for v in x.column(name)]])
-        h, name, left, right = get(live, "h", "<u8"), get(live, "name", "<u8"), get(live, "left", "<u4"), get(live, "right", "<u4")
-        doc, start, span = get(live, "doc", "<i8"), get(live, "start", "<i4"), get(live, "span", "<i4")
-        order, least = _least_of(doc, start, h, name)
-        gone = np.sort(order[doc[order] > least])
+        blobs = lambda name, kind: [np.frombuffer(v.as_py(), kind) for v in t.column(name)]
+        parts = blobs("h", "<u8")
+        ends = np.cumsum([0, *map(len, parts)])
+        h, name, left, right, doc = (np.concatenate(x) for x in (parts, blobs("name", "<u8"), blobs("left", "<u4"), blobs("right", "<u4"), blobs("doc", "<i8")))
+        order, least = _least_of(doc, np.arange(len(doc)), h, name)
+        gone = np.zeros(len(doc), bool)
+        gone[order] = doc[order] > least
         table = np.zeros(1 << (bits - split), np.uint8)
         for side, salt in ((left, 1), (right, 2)):
             ids = shared(h, side, name)
             table[(_side(h[ids], side[ids], salt, split) << np.uint64(split) >> np.uint64(64 - (bits - split))).astype(np.int64)] = 1
         q = table.reshape(-1, 4)
         packed = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-        out = [packed.tobytes(), *(np.concatenate([x[gone], get(rest, n, k)]).tobytes() for x, n, k in ((doc, "doc", "<i8"), (start, "start", "<i4"), (span, "span", "<i4")))]
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), **{n: pa.array([x], pa.binary()) for n, x in zip(("table", "doc", "start", "span"), out)}})
+        told = [(c, np.packbits(gone[a:z]).tobytes()) for c, a, z in zip(t.column("chunk").to_pylist(), ends, ends[1:]) if gone[a:z].any()]
+        told.append((None, packed.tobytes()))
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(told), pa.int64()), "chunk": pa.array([c for c, _ in told], pa.int64()), "bits": pa.array([x for _, x in told], pa.binary())})
 
     return settle
 
@@ -310,27 +316,55 @@ def _shards(docs: DataFrame, table: bytes, sides: bytes, bits: int, split: int,
     return docs.mapInArrow(run, "bucket long, last binary, doc binary, start binary, size binary, span binary")
 
 
+def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+    """(doc, spans): the spans [lo, hi) of each text joined where they touch, packed as pairs of longs."""
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    if not len(doc):
+        return pa.table({"doc": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+    # within a text the ends only grow, once each is raised to the largest before it
+    text = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+    reach = np.maximum.accumulate(hi + text * (1 << 40)) - text * (1 << 40)
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > reach[:-1])))
+    pairs = np.stack([lo[new], reach[np.append(new[1:], len(doc)) - 1]], axis=1).astype("<i8")
+    first = np.flatnonzero(np.append(True, doc[new][1:] != doc[new][:-1]))
+    return pa.table({"doc": pa.array(doc[new][first], pa.int64()), "spans": pa.array([x.tobytes() for x in np.split(pairs, first[1:])], pa.binary())})
+
+
 def _merge(t: pa.Table) -> pa.Table:
-    """(doc, start, span) of the marked starts of one bucket, as runs of neighbouring starts."""
+    """(doc, spans) of the repeats that the merge of one bucket's shards finds."""
     get = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
     last, doc, start, size, span = get("last", np.uint8), get("doc", "<i8"), get("start", "<i4"), get("size", "<i4"), get("span", "<i4")
-    rows, run = merged_intervals(last, LENGTH)
-    found = row_places_all(last, size)
+    strings, places = row_places_all(last, size)
+    rows, run = merged_intervals(last, LENGTH, np.flatnonzero(places >= LENGTH))
     doc, start, span = np.concatenate(doc), np.concatenate(start), np.concatenate(span)
-    string, place = found[0][rows], found[1][rows]
+    string, place = strings[rows], places[rows]
     own = place < span[string]  # later places of a string are the business of its next anchor
     string, place, run = string[own], place[own], run[own]
-    d, at = doc[string], start[string] + place
+    d, at = doc[string], start[string].astype(np.int64) + place
+    if not len(d):
+        return _by_doc(d, at, at)
     order = np.lexsort((d, run))
-    head = np.append(True, np.diff(run[order]) != 0) if len(run) else np.empty(0, bool)
-    least = d[order][np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))] if len(run) else d
+    head = np.append(True, np.diff(run[order]) != 0)
+    least = d[order][np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
     marked = order[d[order] > least]
-    d, at = d[marked], at[marked]
-    order = np.lexsort((at, d))
-    d, at = d[order], at[order]
-    new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1))) if len(d) else np.empty(0, np.int64)
-    ends = np.append(new[1:], len(d)) - 1 if len(d) else new
-    return pa.table({"doc": pa.array(d[new], pa.int64()), "lo": pa.array(at[new], pa.int64()), "hi": pa.array(at[ends] + LENGTH, pa.int64())})
+    return _by_doc(d[marked], at[marked], at[marked] + LENGTH)
+
+
+def _settled_spans(t: pa.Table, told: pa.Table) -> pa.Table:
+    """(doc, spans) of a chunk: the runs that its task settled, and those that the anchor ranges' bits name."""
+    bits = dict(zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist()))
+    doc, lo, hi = [], [], []
+    for bucket, d, s, n in zip(*(t.column(c).to_pylist() for c in ("bucket", "doc", "start", "span"))):
+        if bucket >= 0 and bucket not in bits:
+            continue
+        d, s, n = np.frombuffer(d, "<i8"), np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(n, "<i4")
+        pick = slice(None) if bucket < 0 else np.flatnonzero(np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(d)))
+        doc.append(d[pick])
+        lo.append(s[pick])
+        hi.append(s[pick] + n[pick] + (LENGTH - 1))
+    none = np.empty(0, np.int64)
+    return _by_doc(*(np.concatenate(x) if x else none for x in (doc, lo, hi)))
 
 
 def row_places_all(last: list[np.ndarray], size: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -343,42 +377,31 @@ def row_places_all(last: list[np.ndarray], size: list[np.ndarray]) -> tuple[np.n
 
 
 def repeat_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, spans): for each text that loses bytes, the byte spans [lo, hi) that repeats of smaller ids cover."""
+    """(doc, spans): for each text that loses bytes, packed byte spans [lo, hi) that repeats of smaller ids cover, in no order."""
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null")
     total = own.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
     table, bits = class_table(own.select("__t"), _anchor_hashes, total // 16)
     split = max(0, min(math.ceil(math.log2(max(1.0, total / 40 / HELD_RUNS))), bits - 2))
-    settled = staged(_named_strings(own, table, bits, split).groupBy("bucket").applyInArrow(_settle(bits, split), "bucket long, table binary, doc binary, start binary, span binary"), "suffix-settled")
+    named = staged(_named_strings(own, table, bits, split), "suffix-named")
+    asked = named.where("bucket >= 0").select("bucket", "chunk", "h", "name", "left", "right", "doc")
+    settled = staged(asked.groupBy("bucket").applyInArrow(_settle(bits, split), "bucket long, chunk long, bits binary"), "suffix-settled")
     sides = bytearray(1 << (bits - 2))
     width = len(sides) >> split
-    for r in settled.select("bucket", "table").toLocalIterator():  # together as large as the class table
-        sides[r["bucket"] * width : (r["bucket"] + 1) * width] = r["table"]
+    for r in settled.where("chunk is null").select("bucket", "bits").toLocalIterator():  # together as large as the class table
+        sides[r["bucket"] * width : (r["bucket"] + 1) * width] = r["bits"]
+    spans = "doc long, spans binary"
+    told = settled.where("chunk is not null").groupBy("chunk")
+    local = named.select("chunk", "bucket", "doc", "start", "span").groupBy("chunk").cogroup(told).applyInArrow(_settled_spans, spans)
     shards = _shards(own, table, bytes(sides), bits, split, max(1, math.ceil(total / 8 / MERGE_BYTES)))
-    merged = shards.groupBy("bucket").applyInArrow(_merge, "doc long, lo long, hi long")
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for d, s, n in zip(b.column("doc"), b.column("start"), b.column("span")):
-                d, s, n = np.frombuffer(d.as_py(), "<i8"), np.frombuffer(s.as_py(), "<i4").astype(np.int64), np.frombuffer(n.as_py(), "<i4")
-                order = np.lexsort((s, d))
-                d, s, hi = d[order], s[order], s[order] + n[order] + LENGTH - 1
-                # spans of a text that touch become one before they are shuffled
-                new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] > hi[:-1]))) if len(d) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(s[new]), pa.array(np.maximum.reduceat(hi, new) if len(d) else hi)], names=["doc", "lo", "hi"])
-
-    local = settled.select("doc", "start", "span").mapInArrow(unpacked, "doc long, lo long, hi long")
-    return merged.union(local).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    merged = shards.groupBy("bucket").applyInArrow(_merge, spans)
+    return merged.union(local).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
 
 
-def joined_spans(spans: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
+def joined_spans(packed: list[bytes] | None) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes; spans that touch are one run."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans or []):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+    every = np.frombuffer(b"".join(packed or []), "<i8").reshape(-1, 2)
+    joined = _by_doc(np.zeros(len(every), np.int64), every[:, 0], every[:, 1]).column("spans").to_pylist()
+    return [tuple(x) for x in np.frombuffer(joined[0], "<i8").reshape(-1, 2).tolist()] if joined else []
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -393,7 +416,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 n, removed, count, kept = [], [], [], []
                 for t, s in zip(part.column("__t").to_pylist(), part.column("spans").to_pylist()):
                     data = (t or "").encode("utf-8", "replace")
-                    spans = joined_spans([(x["lo"], x["hi"]) for x in s or []])
+                    spans = joined_spans(s)
                     at, rest = 0, []
                     for a, z in spans:
                         rest.append(data[at:a])
