@@ -17,8 +17,9 @@ def parse_durations(lines: DataFrame) -> DataFrame:
     tag = F.regexp_extract("value", r"::(\S+) took", 1)
     secs = F.regexp_extract("value", r"([0-9]+(?:\.[0-9]+)?) seconds", 1)
     rows = lines.select("party", "seq", tag.alias("tag"), F.when(secs != "", secs.cast("double")).alias("seconds"))
-    later = Window.partitionBy("party").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("seconds", F.first("seconds", ignorenulls=True).over(later)).where(F.col("tag") != "")
+    # read backwards, what comes later is what came before: a running window, one step a line
+    later = Window.partitionBy("party").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("seconds", F.last("seconds", ignorenulls=True).over(later)).where(F.col("tag") != "")
 
 
 def parse_metrics(lines: DataFrame) -> DataFrame:
