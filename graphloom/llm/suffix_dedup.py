@@ -6,8 +6,8 @@ A byte of a text goes when a LENGTH-byte string covers it that also starts in a
    anchors occur in a single text only; strings around those cannot repeat and leave here.
 2. The strings around the other anchors are named by hash. Copies of a whole string in larger texts
    are settled by the name (most of the removed bytes of copied texts are found here, not by the merge);
-   what is left are anchors with different strings that share the bytes on one side. A task's strings
-   are written down as a chunk; an anchor range answers each chunk with a bit a string.
+   what is left are anchors with different strings that share the bytes on one side. Verdicts go back
+   to the chunk of texts that they are about, which joins them to one row a text.
 3. Each task gathers the strings around those, as far as that side goes, keeps the smallest text's copy of equal ones, and packs,
    for each anchor range, the strings' Burrows-Wheeler transform: a shard.
 4. The shards of a range are merged by refining their interleave two bytes a step with the transforms'
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,14 +197,14 @@ def _least_of(doc: np.ndarray, start: np.ndarray, h: np.ndarray, name: np.ndarra
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c[0], int) else pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in c], pa.binary()) for c in cols], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if c[0] is None or isinstance(c[0], int) else pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in c], pa.binary()) for c in cols], names=names)
 
 
 _NAMED = ["chunk", "bucket", "h", "name", "left", "right", "doc", "start", "span"]
 
 
 def _named_strings(docs: DataFrame, table: bytes, bits: int, split: int) -> DataFrame:
-    """The runs by chunk of a task and anchor range, with hashes of their strings only; bucket -1 has those that the task settles by itself."""
+    """The runs by anchor range and by chunk of a task, with hashes of their strings only; runs that the task settles by itself ride along without."""
     bundle = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,7 @@ def _named_strings(docs: DataFrame, table: bytes, bits: int, split: int) -> Data
             order, least = _least_of(doc, start, h, name)
             settled = doc[order] > least
             gone, kept = np.sort(order[settled]), order[~settled]
-            rows = [(chunk, -1, b"", b"", b"", b"", doc[gone], start[gone], span[gone])] if len(gone) else []
+            rows = [(chunk, k, b"", b"", b"", b"", doc[ids], start[ids], span[ids]) for k, ids in enumerate(np.array_split(gone, 1 << split)) if len(ids)]  # in step with the ranges, so none is larger
             own = (h[kept] >> np.uint64(64 - split)).astype(np.int64) if split else np.zeros(len(kept), np.int64)
             for ids in np.split(kept, np.flatnonzero(np.diff(own)) + 1):  # kept is in order of the anchors
                 ids = np.sort(ids)  # neighbours in a text compress well
@@ -236,7 +237,7 @@ def _named_strings(docs: DataFrame, table: bytes, bits: int, split: int) -> Data
 
 
 def _settle(bits: int, split: int):
-    """For an anchor range: for each chunk a bit for each of its runs, set where the whole string is in a smaller text; and, under no chunk, a table of the anchors' sides that different strings share."""
+    """For an anchor range: for each chunk its runs whose whole string is in a smaller text; and, under no chunk, a table of the anchors' sides that different strings share."""
 
     def shared(h: np.ndarray, side: np.ndarray, name: np.ndarray) -> np.ndarray:
         """Rows of the (anchor, side) pairs that go with two names or more."""
@@ -250,11 +251,13 @@ def _settle(bits: int, split: int):
         return order[head[np.add.reduceat(other.astype(np.int64), head) > 1]]
 
     def settle(t: pa.Table) -> pa.Table:
-        blobs = lambda name, kind: [np.frombuffer(v.as_py(), kind) for v in t.column(name)]
-        parts = blobs("h", "<u8")
-        ends = np.cumsum([0, *map(len, parts)])
-        h, name, left, right, doc = (np.concatenate(x) for x in (parts, blobs("name", "<u8"), blobs("left", "<u4"), blobs("right", "<u4"), blobs("doc", "<i8")))
-        order, least = _least_of(doc, np.arange(len(doc)), h, name)
+        live = pc.greater(pc.binary_length(t.column("h")), 0)
+        rest, t = t.filter(pc.invert(live)), t.filter(live)
+        get = lambda name, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(v.as_py(), kind) for v in t.column(name)]])
+        h, name, left, right = get("h", "<u8"), get("name", "<u8"), get("left", "<u4"), get("right", "<u4")
+        doc, start, span = get("doc", "<i8"), get("start", "<i4"), get("span", "<i4")
+        ends = np.cumsum([0, *(len(v.as_py()) // 8 for v in t.column("h"))])
+        order, least = _least_of(doc, start, h, name)
         gone = np.zeros(len(doc), bool)
         gone[order] = doc[order] > least
         table = np.zeros(1 << (bits - split), np.uint8)
@@ -263,9 +266,13 @@ def _settle(bits: int, split: int):
             table[(_side(h[ids], side[ids], salt, split) << np.uint64(split) >> np.uint64(64 - (bits - split))).astype(np.int64)] = 1
         q = table.reshape(-1, 4)
         packed = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-        told = [(c, np.packbits(gone[a:z]).tobytes()) for c, a, z in zip(t.column("chunk").to_pylist(), ends, ends[1:]) if gone[a:z].any()]
-        told.append((None, packed.tobytes()))
-        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(told), pa.int64()), "chunk": pa.array([c for c, _ in told], pa.int64()), "bits": pa.array([x for _, x in told], pa.binary())})
+        rows = [tuple(r.values()) for r in rest.select(["chunk", "bucket", "h", "doc", "start", "span"]).to_pylist()]
+        bucket = (t if t.num_rows else rest).column("bucket")[0].as_py()
+        for c, a, z in zip(t.column("chunk").to_pylist(), ends, ends[1:]):
+            if len(ids := np.flatnonzero(gone[a:z]) + a):
+                rows.append((c, bucket, b"", doc[ids], start[ids], span[ids]))
+        rows.append((None, bucket, packed.tobytes(), b"", b"", b""))
+        return pa.Table.from_batches([_batch(rows, ["chunk", "bucket", "table", "doc", "start", "span"])])
 
     return settle
 
@@ -351,20 +358,11 @@ def _merge(t: pa.Table) -> pa.Table:
     return _by_doc(d[marked], at[marked], at[marked] + LENGTH)
 
 
-def _settled_spans(t: pa.Table, told: pa.Table) -> pa.Table:
-    """(doc, spans) of a chunk: the runs that its task settled, and those that the anchor ranges' bits name."""
-    bits = dict(zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist()))
-    doc, lo, hi = [], [], []
-    for bucket, d, s, n in zip(*(t.column(c).to_pylist() for c in ("bucket", "doc", "start", "span"))):
-        if bucket >= 0 and bucket not in bits:
-            continue
-        d, s, n = np.frombuffer(d, "<i8"), np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(n, "<i4")
-        pick = slice(None) if bucket < 0 else np.flatnonzero(np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(d)))
-        doc.append(d[pick])
-        lo.append(s[pick])
-        hi.append(s[pick] + n[pick] + (LENGTH - 1))
-    none = np.empty(0, np.int64)
-    return _by_doc(*(np.concatenate(x) if x else none for x in (doc, lo, hi)))
+def _settled_spans(t: pa.Table) -> pa.Table:
+    """(doc, spans) of the settled runs of a chunk."""
+    get = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(name)]).astype(np.int64)
+    start = get("start", "<i4")
+    return _by_doc(get("doc", "<i8"), start, start + get("span", "<i4") + (LENGTH - 1))
 
 
 def row_places_all(last: list[np.ndarray], size: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -382,16 +380,13 @@ def repeat_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     total = own.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
     table, bits = class_table(own.select("__t"), _anchor_hashes, total // 16)
     split = max(0, min(math.ceil(math.log2(max(1.0, total / 40 / HELD_RUNS))), bits - 2))
-    named = staged(_named_strings(own, table, bits, split), "suffix-named")
-    asked = named.where("bucket >= 0").select("bucket", "chunk", "h", "name", "left", "right", "doc")
-    settled = staged(asked.groupBy("bucket").applyInArrow(_settle(bits, split), "bucket long, chunk long, bits binary"), "suffix-settled")
+    settled = staged(_named_strings(own, table, bits, split).groupBy("bucket").applyInArrow(_settle(bits, split), "chunk long, bucket long, table binary, doc binary, start binary, span binary"), "suffix-settled")
     sides = bytearray(1 << (bits - 2))
     width = len(sides) >> split
-    for r in settled.where("chunk is null").select("bucket", "bits").toLocalIterator():  # together as large as the class table
-        sides[r["bucket"] * width : (r["bucket"] + 1) * width] = r["bits"]
+    for r in settled.where("chunk is null").select("bucket", "table").toLocalIterator():  # together as large as the class table
+        sides[r["bucket"] * width : (r["bucket"] + 1) * width] = r["table"]
     spans = "doc long, spans binary"
-    told = settled.where("chunk is not null").groupBy("chunk")
-    local = named.select("chunk", "bucket", "doc", "start", "span").groupBy("chunk").cogroup(told).applyInArrow(_settled_spans, spans)
+    local = settled.where("chunk is not null").select("chunk", "doc", "start", "span").groupBy("chunk").applyInArrow(_settled_spans, spans)
     shards = _shards(own, table, bytes(sides), bits, split, max(1, math.ceil(total / 8 / MERGE_BYTES)))
     merged = shards.groupBy("bucket").applyInArrow(_merge, spans)
     return merged.union(local).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
