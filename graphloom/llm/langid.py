@@ -6,7 +6,8 @@ whose dictionary gives the fewest bytes wins; a narrow margin between the best t
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0 and is rejected;
 equal sizes go to the smaller language name and are rejected; without a single learned language
-every text is ``und``. Repeated rows are judged alike; extra columns pass through.
+every text is ``und``; an empty table gives an empty table with the same columns. Texts are read whole, however long.
+Repeated rows are judged alike; extra columns pass through, but columns named like the results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -46,20 +47,20 @@ def normalise(text: str | None) -> bytes:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """One raw-content dictionary per non-null language of ``docs``, from about SAMPLE_DOCS documents each.
 
-    The sample is a hash range sized from exact counts, so that only it leaves the executors.
+    The sample is a hash range sized from exact counts, so that only it leaves the executors: the
+    counts, one for each language of the model, come first, and no text is shuffled for them.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__n"))
     unit = (F.xxhash64(F.col(key), F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    picked = (
-        known.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), unit.alias("__u"))
-        .join(counts, "__lang")
-        .where(F.col("__u") * F.col("__n") < SAMPLE_DOCS)
-        .select("__lang", "__u", F.substring("__text", 1, SAMPLE_BYTES).alias("__text"))
-    )
-    parts: dict[str, list[tuple[float, bytes]]] = {}
+    rows = known.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), unit.alias("__u"))
+    counts = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(SAMPLE_DOCS / n))])
+    picked = rows.where(F.col("__u") < F.element_at(share, F.col("__lang"))).select("__lang", "__u", F.substring("__text", 1, SAMPLE_BYTES).alias("__text"))
+    parts: dict[str, list[tuple[float, bytes]]] = {k: [] for k in counts}
     for r in picked.collect():
-        parts.setdefault(r["__lang"], []).append((r["__u"], normalise(r["__text"])))
+        parts[r["__lang"]].append((r["__u"], normalise(r["__text"])))
     return {k: b" ".join(x for _, x in sorted(v)) for k, v in sorted(parts.items())}
 
 
@@ -94,7 +95,7 @@ class Identifier:
 def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected; no other column is read for them."""
     bundle = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit, per language
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_rejected")]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "lang_score", "lang_rejected")]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     names = [f.name for f in fields]
 
