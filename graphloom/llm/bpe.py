@@ -7,7 +7,8 @@ neighbouring tokens could not stand side by side after the merges. That compatib
 the tokens' own merge trees and memoised, so a piece costs time linear in its length.
 
 Defined results: a null or empty text has no ids; any string, however long, is encoded whole; ids
-decode to exactly the text's UTF-8 bytes. Repeated rows encode alike; extra columns pass through.
+decode to exactly the text's UTF-8 bytes; an empty table gives an empty table with the same columns.
+Repeated rows encode alike; extra columns pass through, but columns named like the results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries kept by each memo before it starts anew; this bounds a worker's memory, not its results.
-MEMO = 400_000
+MEMO = 150_000
 #: Signs that the pattern splits from the letters before them.
 ALONE = frozenset(".,;:!?)")
 
@@ -173,6 +174,11 @@ class Bpe:
                 at -= size[token]
         return out
 
+    def forget(self) -> None:
+        """Empties the memos, so that a worker at rest holds the tables of the rank file only."""
+        for memo in (self.fits, self.pieces, self.first, self.rest):
+            memo.clear()
+
     def pack(self, piece: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode())))
 
@@ -239,5 +245,6 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, added: list[tup
                     made.append(of(ids, bpe.decode_packed(ids)))
                 cols = [part.column(n) for n in names] + [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(cols, names=names + new)
+        bpe.forget()
 
     return docs.mapInArrow(run, T.StructType([*fields, *[T.StructField(n, t) for n, t in added]]))
