@@ -5,7 +5,9 @@ target words are served in passes over its blocks, each pass in its own affine p
 draws of a source are exact positions 0, 1, 2, ... of (pass, block); only the last one is partial.
 The output shards share those positions by a multivariate-hypergeometric splitting tree: each node
 halves its shards and draws, source by source, how many of its block positions go left, without
-replacement; a leaf owns disjoint runs of permuted positions, shuffled locally by hash.
+replacement, by inverting the law from its mode outwards; a leaf owns disjoint runs of permuted
+positions, shuffled locally by hash. A node is one row with a count for each source, so the tables
+of sources must fit a row; rows and blocks of a source are never in one.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the order; a
 source of size 0 gets target 0; an empty table gives an empty table. Rows equal in id, source and
@@ -14,6 +16,8 @@ size are taken all alike, and the one boundary block of a source takes them toge
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: No document and no source is taken more often than this.
 MAX_PASSES = 3
 BLOCK_ROWS = 512
+#: Blocks of a source whose sizes are summed in one window.
+STRETCH = 1 << 15
+#: Tables with a row for each source are broadcast up to this many sources; beyond, they are joined.
+FEW_SOURCES = 10_000
 SEED = 20260
 #: Columns that the operator adds; input columns of these names are replaced.
 ADDED = {"mix_size", "mix_source_size", "mix_target", "mix_shards", "mix_shard", "mix_order"}
@@ -74,17 +82,24 @@ def _thin(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
 
 def plan(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows with their blocks, targets per source, drawn blocks, boundary picks) of the mix."""
-    counts = thin.groupBy(*_K).agg(F.sum("__same").alias("__rows")).select(*_K, _blocks(F.col("__rows")).alias("__nb"))
-    blocked = thin.join(counts, _K).withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(SEED)), F.col("__nb")))
+    counts = staged(thin.groupBy(*_K).agg(F.sum("__same").alias("__rows")).select(*_K, _blocks(F.col("__rows")).alias("__nb")), "mixing-sources")
+    few = counts.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    blocked = thin.join(F.broadcast(counts) if few else counts, _K).withColumn("__block", F.pmod(F.xxhash64("__id", F.lit(SEED)), F.col("__nb")))
     per_block = staged(blocked.groupBy(*_K, "__nb", "__block").agg(F.sum(F.col("__words") * F.col("__same")).alias("__bsize")), "mixing-blocks")
-    targets = source_targets(per_block.groupBy(*_K).agg(F.sum("__bsize").alias("__size")), weights, max_passes)
+    targets = staged(source_targets(per_block.groupBy(*_K).agg(F.sum("__bsize").alias("__size")), weights, max_passes), "mixing-targets")
+    if few:
+        targets = F.broadcast(targets)
 
     goal = F.round(F.col("__target")).cast("long")
     turns = F.when(F.col("__size") > 0, F.least(F.floor(goal / F.greatest("__size", F.lit(1))), F.lit(max_passes))).otherwise(0).cast("long")
     blocks = per_block.join(targets, _K).withColumn("__turn", turns).withColumn("__rest", goal - F.col("__turn") * F.col("__size"))
     blocks = blocks.withColumn("__at", _permuted(F.col("__block"), F.col("__nb"), F.col("__turn"), F.col("__src")))
-    run = Window.partitionBy(*_K).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__gap", F.col("__rest") - F.coalesce(F.sum("__bsize").over(run), F.lit(0)))
+    # running sums in two levels: over the stretches of a source, then inside each stretch
+    blocks = blocks.withColumn("__stretch", F.floor(F.col("__at") / STRETCH))
+    before = Window.partitionBy(*_K).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.groupBy(*_K, "__stretch").agg(F.sum("__bsize").alias("__sum")).select(*_K, "__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__ahead"))
+    run = Window.partitionBy(*_K, "__stretch").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(ahead, [*_K, "__stretch"]).withColumn("__gap", F.col("__rest") - F.col("__ahead") - F.coalesce(F.sum("__bsize").over(run), F.lit(0)))
     whole = (F.col("__gap") >= F.col("__bsize")) & (F.col("__rest") > 0)
     partial = ~whole & (F.col("__gap") > 0)
     drawn = blocks.select(*_K, "__nb", "__block", (F.col("__turn") + whole.cast("long")).alias("__times"), partial.alias("__partial"), F.when(partial, F.col("__gap")).otherwise(0).alias("__gap"))
@@ -104,26 +119,73 @@ def plan(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int
     return blocked, targets, drawn, picks
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _ln_factorials(numbers: list[tuple[Column, int]]) -> Column:
+    """The sum of sign * ln n! over (n, sign), by Stirling's series eight steps further up, where it is exact to some 12 digits."""
+    numbers = F.array(*[F.struct(n.cast("double").alias("n"), F.lit(float(k)).alias("k")) for n, k in numbers])
+
+    def one(total: Column, x: Column) -> Column:
+        low = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(1.0), lambda a, k: a * (x["n"] + k))
+        return total + x["k"] * _let(x["n"] + 9.0, lambda z: (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(low))
+
+    return F.aggregate(numbers, F.lit(0.0), one)
+
+
+def hypergeometric(pool: Column, need: Column, own: Column, unit: Column) -> Column:
+    """How many of ``need`` draws without replacement from ``pool`` positions fall on ``own`` of them, by inversion of ``unit``.
+
+    Outcomes are tried from the mode outwards, one more and one less by turns, each by its ratio to the one before;
+    13 standard deviations to either side hold everything that 53 bits of ``unit`` can tell apart.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def bounded(c: Column) -> Column:
+        mode = F.greatest(c["least"], F.least(c["most"], F.floor((c["need"] + 1) * ((c["own"] + 1) / (c["pool"] + 2))).cast("long")))
+        share = F.greatest(c["pool"], one).cast("double")
+        spread = F.sqrt(c["need"] * (c["own"] / share) * ((c["pool"] - c["own"]) / share) * ((c["pool"] - c["need"]) / F.greatest(share - 1, F.lit(1.0))))
+        return _let(F.struct(c.alias("c"), mode.alias("mode"), F.least(c["most"] - c["least"], F.ceil(13 * spread).cast("long") + 16).alias("width")), searched)
+
+    def searched(m: Column) -> Column:
+        c, mode = m["c"], m["mode"]
+        pool, need, own = c["pool"], c["need"], c["own"]
+        top = F.exp(_ln_factorials([(own, 1), (mode, -1), (own - mode, -1), (pool - own, 1), (need - mode, -1), (pool - own - need + mode, -1), (pool, -1), (need, 1), (pool - need, 1)]))
+
+        def step(a: Column, _: Column) -> Column:
+            up = F.when(a["u"] < c["most"], a["p"] * (own - a["u"]) * ((need - a["u"]) / ((a["u"] + 1).cast("double") * (pool - own - need + a["u"] + 1)))).otherwise(F.lit(0.0))
+            down = F.when(a["d"] > c["least"], a["q"] * a["d"] * ((pool - own - need + a["d"]) / ((own - a["d"] + 1).cast("double") * (need - a["d"] + 1)))).otherwise(F.lit(0.0))
+
+            def taken(x: Column) -> Column:
+                rest = a["left"] - x["up"]
+                found = F.when(a["k"].isNotNull(), a["k"]).when((x["up"] > 0) & (rest <= 0), a["u"] + 1).when((x["down"] > 0) & (rest - x["down"] <= 0), a["d"] - 1)
+                return F.struct((a["u"] + 1).alias("u"), x["up"].alias("p"), (a["d"] - 1).alias("d"), x["down"].alias("q"), (rest - x["down"]).alias("left"), found.alias("k"))
+
+            return _let(F.struct(up.alias("up"), down.alias("down")), taken)
+
+        begin = _let(top, lambda t: F.struct(mode.alias("u"), t.alias("p"), mode.alias("d"), t.alias("q"), (c["unit"] - t).alias("left"), F.when(c["unit"] <= t, mode).alias("k")))
+        return F.coalesce(F.aggregate(F.sequence(zero, m["width"]), begin, step)["k"], mode)
+
+    given = F.struct(pool.alias("pool"), need.alias("need"), own.alias("own"), unit.alias("unit"), F.greatest(zero, need + own - pool).alias("least"), F.least(need, own).alias("most"))
+    return _let(given, bounded)
+
+
 def shard_quotas(drawn: DataFrame, levels: int) -> DataFrame:
     """(__null, __src, __ranges): for each source, where the run of block positions of each of 2**levels shards begins.
 
     One row per tree node and source; a node draws the left half of its positions without replacement,
-    source after source, by one Bernoulli step for each position, which is the multivariate hypergeometric law.
+    source after source, each a hypergeometric draw given those before: the multivariate hypergeometric law.
     """
     total = drawn.groupBy(*_K).agg(F.sum("__draws").alias("n"))
     nodes = total.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("__null").alias("u"), F.col("__src").alias("s"), F.col("n").alias("n")))).alias("c")).select(F.lit(0).cast("long").alias("__shard"), "c")
-    one = F.lit(1).cast("long")
 
     def halved(level: int):
         def step(acc: Column, x: Column) -> Column:
-            def draw(a: Column, i: Column) -> Column:
-                u = F.xxhash64(F.lit(SEED + 9), F.lit(level), F.col("__shard"), x["u"], x["s"], i).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-                hit = (u * a["pool"] < a["need"]).cast("long")
-                return F.struct((a["pool"] - 1).alias("pool"), (a["need"] - hit).alias("need"))
-
-            before = F.struct(acc["pool"].alias("pool"), acc["need"].alias("need"))
-            after = F.when(x["n"] > 0, F.aggregate(F.sequence(one, F.greatest(x["n"], one)), before, draw)).otherwise(before)
-            return F.struct(after["pool"].alias("pool"), after["need"].alias("need"), F.concat(acc["out"], F.array(acc["need"] - after["need"])).alias("out"))
+            u = F.xxhash64(F.lit(SEED + 9), F.lit(level), F.col("__shard"), x["u"], x["s"]).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+            hit = hypergeometric(acc["pool"], acc["need"], x["n"], u).cast("long")
+            return F.struct((acc["pool"] - x["n"]).alias("pool"), (acc["need"] - hit).alias("need"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
         return step
 
