@@ -62,6 +62,27 @@ def test_line_dedup(spark, docs, rows):
         assert (got[i].text, got[i].n_lines, got[i].n_removed_lines) == (want, len(at), len(gone))
         assert got[i]["__t"] == 1
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+    clash = docs.withColumns({x: F.lit(x) for x in ("__key", "__doc", "__starts", "__row", "place", "N_runs")})
+    kept = line_dedup.dedup_lines(clash).collect()
+    assert all(r["__key"] == "__key" and r["__row"] == "__row" and isinstance(r["n_runs"], int) for r in kept) and len(kept) == len(rows)
+
+
+def test_line_dedup_sends_selected_windows_only(spark, monkeypatch):
+    """A shared window has a shared fingerprint; lines of one text only are not sent; small tasks and one task agree."""
+    rng = random.Random(12)
+    shared = [prose(rng, 8) for _ in range(7)]
+    texts = [[prose(rng, 6) for _ in range(30)] for _ in range(40)]
+    for i in range(0, 40, 5):
+        texts[i][i % 9 : i % 9] = shared[i % 3 :]
+    table = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    marks = [set(line_dedup.windows(*line_dedup.worded("\n".join(x)))[2].tolist()) for x in texts]
+    assert marks[0] & marks[5] and not marks[1] & marks[2]
+    for _, size, mark, spot, _ in [line_dedup.windows(*line_dedup.worded("\n".join(texts[1])))]:
+        assert len(line_dedup.fingerprints(mark, size, spot)) < 0.8 * len(mark)
+    whole = sorted((r.doc_id, r.text, r.n_runs) for r in line_dedup.dedup_lines(table).collect())
+    monkeypatch.setattr(line_dedup, "HELD", 20)
+    assert whole == sorted((r.doc_id, r.text, r.n_runs) for r in line_dedup.dedup_lines(table.repartition(5)).collect())
+    assert sum(n for *_, n in whole) == 7
 
 
 def test_line_dedup_by_words(spark):
@@ -128,6 +149,30 @@ def test_html_blocks():
     assert blocks(None) == blocks("") == ([], []) and blocks("a < b") == ([], ["a < b"])
 
 
+def test_html_hostile_markup():
+    import time
+
+    blocks = html_text.page_blocks
+    assert blocks("<article><p title=it's>hello</p></article>")[0] == ["hello"]
+    assert blocks('<main><div class="share-price">9 up</div><div class="share-box">tell all</div><p>x <math><mi>y</mi></math></p></main>')[0] == ["9 up", "x y"]
+    assert blocks('<p title="a > b">c</p><p id = \'d > e\'>f') == ([], ["c", "f"])
+    assert blocks('<p>a<b title="lost>c</b>')[1] and blocks("<p>1 < 2 <3 <")[1] == ["1 < 2 <3 <"] and blocks("<a")[1] == ["<a"]
+    assert blocks("<svg/>a<script>b")[1] == ["a"]
+    for page in ('<a "x" ' * 150_000, '<a "x" ' * 150_000 + ">", '<a x="><a" ' * 90_000, "<script>" * 130_000, "<!--" * 250_000, "<p class='" * 100_000, "<div>" * 200_000, "</div>" * 160_000, '<p><b x="' * 100_000):
+        began = time.perf_counter()
+        html_text.page_stream(page)
+        assert time.perf_counter() - began < 2.5, page[:12]
+
+
+def test_html_odd_rows(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+    long = "<article><p>" + " ".join(f"w{i}" for i in range(60_000)) + "</p></article>"
+    rows = [(1, "h", long), (1, "h", long), (1, "h", "<p>other"), (None, None, "<p>no id"), (2, "h", " \n ")]
+    got = html_text.extract(spark.createDataFrame([(*r, 5, "x") for r in rows], schema + ", host int, packed string")).collect()
+    assert sorted((str(r.page_id), r.text[:5], r.n_chars) for r in got) == sorted([("1", "w0 w1", len(long) - 31)] * 2 + [("1", "other", 5), ("None", "no id", 5), ("2", "", 0)])
+
+
 def test_html_boilerplate_and_unique_runs(spark):
     chrome = "all rights reserved by the owner of this fine site and shop"
     pages = [(i, "http://h.example/x" if i < 5 else "http://h.example/y", f"<div><p>{chrome}</p><p>story number {i} tells of {'abc'[i % 3]} things</p></div>") for i in range(5)]
