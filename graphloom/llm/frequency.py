@@ -29,9 +29,9 @@ def classes_of(h: np.ndarray, table: bytes, bits: int) -> np.ndarray:
     return (np.frombuffer(table, np.uint8)[slot >> np.uint64(2)] >> ((slot & np.uint64(3)).astype(np.uint8) * 2)) & 3
 
 
-def class_table(texts: DataFrame, hashes: Callable[[list[str | None]], np.ndarray], total: int) -> tuple[bytes, int]:
-    """(table, bits) for the items that ``hashes`` finds in the one column of ``texts``; ``total`` is about their number."""
-    bits = min(max(math.ceil(math.log2(max(total, 2))) + 1, TABLE_BITS[0]), TABLE_BITS[1])
+def class_table(texts: DataFrame, hashes: Callable[[list[str | None]], np.ndarray], total: int, spare: int = 1) -> tuple[bytes, int]:
+    """(table, bits) for the items that ``hashes`` finds in the one column of ``texts``; ``total`` is about their number, 2**spare slots stand for each."""
+    bits = min(max(math.ceil(math.log2(max(total, 2))) + spare, TABLE_BITS[0]), TABLE_BITS[1])
     split = max(0, min(math.ceil(math.log2(max(1.0, total / RANGE_ITEMS))), bits - 2))
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Main text of raw pages: markup drops what it names, a suffix array per host decides about the rest.
 
-A page is read into blocks. Menus, headers, footers, asides, forms, notices, adverts, comments and
-what is never shown are dropped by their elements, classes and roles. All other blocks, inside an
+A page is read into blocks in one pass, linear in its length. Menus, headers, footers, asides, forms,
+notices, adverts, comments and what is never shown are dropped by their elements, and by classes, ids
+and roles that say nothing else (``share`` and ``share-box``, not ``share-price``). All other blocks, inside an
 ``article`` or ``main`` or not, go to their host's suffix array: the token streams of the host's pages
 stand end to end, substrings of MIN_TOKENS tokens or more that occur on MIN_PAGES distinct pages are
 boilerplate, and a block that they cover is removed; unique runs stay. Markup restricts this verdict
@@ -9,7 +10,9 @@ in one case: where boilerplate would take more than half the words inside ``arti
 are an article that other pages show too, and its blocks stay.
 
 Defined results: null, empty or tag-less input gives its own text, empty where there is none; unclosed
-elements end with their parent; pages of one article, or of one stream where there is none, count once,
+elements end with their parent; quotes count only as an attribute's value; a tag without an end is
+text; a null url is a host of its own; repeated rows, also in page_id, are pages each; an empty table gives an
+empty table; columns other than page_id, url and html are not read; pages of one article, or of one stream where there is none, count once,
 so mirrors do not remove each other;
 a host of many pages or bytes is split by hash into parts of about GROUP_PAGES or GROUP_BYTES. Its
 windows of MIN_TOKENS tokens are counted over all parts, by hash, so the split changes no result.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.frequency import class_table, classes_of
-from graphloom.llm.shingles import mixed
+from graphloom.llm.shingles import mixed, word_hashes
 
 MIN_TOKENS, MIN_PAGES, GROUP_PAGES, GROUP_BYTES = 8, 3, 2000, 32_000_000
 #: Tokens of the pieces of a window whose least hash stands for it when windows on one page only are ruled out.
@@ -38,7 +41,7 @@ PIECE = 6
 HELD = 1_000_000
 
 # Fixed values of HTML: elements by their part in a page.
-UNSEEN = "script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select|button|canvas|audio|video"
+UNSEEN = frozenset("script style noscript template svg iframe object head title textarea select button canvas audio video".split())
 CHROME = frozenset("nav footer aside form dialog menu".split())
 MAIN = frozenset("article main".split())
 STRUCTURE = frozenset("html body div section article main nav header footer aside form dialog menu ul ol dl table tbody thead tfoot tr blockquote figure details fieldset".split())
@@ -50,8 +53,16 @@ BESIDE = frozenset(
     "related recommended share sharing social footer contentinfo complementary comment comments reply replies disqus pagination pager".split()
 )
 ATOP = frozenset("header masthead topbar".split())
+#: Words that say nothing about a part themselves.
+PLAIN = frozenset(
+    "area banner bar block body bottom box btn button card cell center col column container content entry first fixed form frame global grid group "
+    "icon icons inline inner item items label last layout left link links list main message module page panel post primary reader region right row "
+    "secondary section site slot small sticky strip tab text title top unit user view wrap wrapper zone".split()
+)
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{UNSEEN})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+# possessive, so nothing is tried twice; a quote that never closes is a character like others
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+_ATTRS = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+(?=>)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -64,15 +75,59 @@ def _is_beside(tag: str, attrs: str, in_main: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    words = {w.lower() for m in _NAMES.finditer(attrs) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
-    return bool(words & BESIDE) or not in_main and bool(words & ATOP)
+    drop = BESIDE if in_main else BESIDE | ATOP
+    for m in _NAMES.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & drop and words <= drop | PLAIN:
+                return True
+    return False
+
+
+def tags(text: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of the markup of a page; comments and what is never shown have no name.
+
+    Each character is read a bounded number of times: after one tag whose end is lost among quotes, tags end at the next ``>``.
+    """
+    at, quotes, unclosed = 0, True, set()
+    while (i := text.find("<", at)) >= 0:
+        at = i + 1
+        if text.startswith("<!--", i):
+            z = text.find("-->", i + 4)
+            at = len(text) if z < 0 else z + 3
+            yield i, at, "", False, ""
+            continue
+        m = _NAME.match(text, i)
+        if m is None:
+            if text.startswith(("<!", "<?"), i):
+                z = text.find(">", i)
+                if z < 0:
+                    return
+                at = z + 1
+                yield i, at, "", False, ""
+            continue
+        a = _ATTRS.match(text, m.end()) if quotes else None
+        z = a.end() if a else text.find(">", m.end())
+        if z < 0:
+            return
+        quotes = quotes and a is not None
+        name, attrs, closes = m[1].lower(), text[m.end() : z], text[i + 1] == "/"
+        at = z + 1
+        if name in UNSEEN and not closes and not attrs.endswith("/"):
+            found = None if name in unclosed else re.compile(rf"</{name}\s*+>", re.I).search(text, at)
+            if found is None:
+                unclosed.add(name)
+            at = found.end() if found else len(text)
+            name = ""
+        yield i, at, name, closes, attrs
 
 
 def page_stream(page: str | None) -> list[tuple[str, bool]]:
     """(block, whether it is inside article or main) of every block that markup does not drop, in page order."""
     found: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
-    beside = mains = 0
+    opened: dict[str, int] = {}
+    beside = mains = floor = 0  # what lies under ``floor`` hides nothing any more
     piece: list[str] = []
     at = 0
     text = page or ""
@@ -84,14 +139,10 @@ def page_stream(page: str | None) -> list[tuple[str, bool]]:
             if words:
                 found.append((words, mains > 0))
 
-    for m in _TOKEN.finditer(text):
-        if not beside and m.start() > at:
-            piece.append(text[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+    for start, end, tag, closes, attrs in tags(text):
+        if not beside and start > at:
+            piece.append(text[at:start])
+        at = end
         if tag in ("td", "th"):
             piece.append(" ")
         if tag not in BREAKS:
@@ -100,20 +151,22 @@ def page_stream(page: str | None) -> list[tuple[str, bool]]:
             close()
         if tag not in STRUCTURE:
             continue
-        if m["end"]:
-            if any(t == tag for t, _, _ in stack):
+        if closes:
+            if opened.get(tag):
                 while True:
                     t, b, i = stack.pop()
-                    beside -= b
+                    opened[t] -= 1
+                    beside -= b and len(stack) >= floor
+                    floor = min(floor, len(stack))
                     mains -= i
                     if t == tag:
                         break
-        elif not m["attrs"].endswith("/"):
-            hides = _is_beside(tag, m["attrs"], mains > 0)
+        elif not attrs.endswith("/"):
+            hides = _is_beside(tag, attrs, mains > 0)
             if tag in MAIN and not hides and beside and not mains:  # an unclosed part beside it ends where the article begins
-                stack = [(t, False, i) for t, _, i in stack]
-                beside = 0
+                floor, beside = len(stack), 0
             stack.append((tag, hides, tag in MAIN))
+            opened[tag] = opened.get(tag, 0) + 1
             beside += hides
             mains += tag in MAIN
     if not beside:
@@ -187,8 +240,13 @@ def _rolled(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def _tokens(blocks: list[str]) -> np.ndarray:
-    """The hash of each token of a page's stream; a block ends with a token of its own."""
-    return np.array([xxhash.xxh3_64_intdigest(w) for x in blocks for w in (*x.split(), "\n")], np.uint64)
+    """The hash of each token of a page's stream; a block, whose words one blank parts, ends with a token of its own."""
+    return word_hashes(np.frombuffer("".join(x + " \0 " for x in blocks).encode("utf-8", "surrogatepass"), np.uint8), lower=False)[1]
+
+
+def _ends(blocks: list[str]) -> np.ndarray:
+    """Where each block ends in the stream, its own end included."""
+    return np.cumsum([x.count(" ") + 2 for x in blocks], dtype=np.int64)
 
 
 def marked_windows(host: str, blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +263,7 @@ def marked_windows(host: str, blocks: list[str]) -> tuple[np.ndarray, np.ndarray
 def covered_blocks(host: str, blocks: list[str], hot: np.ndarray) -> list[bool]:
     """For each block of a page: whether windows that are in ``hot``, which is sorted, cover it."""
     w = marked_windows(host, blocks)[0]
-    ends = np.cumsum([len(x.split()) + 1 for x in blocks], dtype=np.int64)
+    ends = _ends(blocks)
     edge = np.zeros((ends[-1] if len(ends) else 0) + 1, np.int64)
     if len(w) and len(hot):
         at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w)
@@ -228,7 +286,7 @@ def _hot_windows(pages: DataFrame, split: Split) -> DataFrame:
         return np.concatenate([np.empty(0, np.uint64), *[np.unique(marked_windows(_host(x["url"]), [y for y, _ in page_stream(x["html"])])[1]) for x in rows]])
 
     size = some.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    table, bits = class_table(some.select(F.struct("url", "html")), hashes, size // 12)
+    table, bits = class_table(some.select(F.struct("url", "html")), hashes, size // 12, spare=2)
     bundle = pages.sparkSession.sparkContext.broadcast(table)  # of at most 2**28 / 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +334,7 @@ def stream_name(blocks: list[str], inside: list[bool]) -> tuple[str, ...]:
 
 def kept_text(blocks: list[str], inside: list[bool], covered: list[bool]) -> str:
     """The blocks that stay; an article of which more than half would go is a mirrored one and stays whole."""
-    words = [len(x.split()) for x in blocks]
+    words = [x.count(" ") + 1 for x in blocks]
     gone = sum(n for n, m, d in zip(words, inside, covered) if m and d)
     mirrored = 2 * gone > sum(n for n, m in zip(words, inside) if m)
     return "\n".join(x for x, m, d in zip(blocks, inside, covered) if not d or m and mirrored)
@@ -291,8 +349,9 @@ def suffix_ranks(stream: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
         step = min(width, length - width)
         nxt = np.full(n, -1, np.int64)
         nxt[: n - step] = rank[step:]
-        order = np.lexsort((nxt, rank))
-        head = np.append(True, (rank[order][1:] != rank[order][:-1]) | (nxt[order][1:] != nxt[order][:-1]))
+        key = rank * (n + 1) + nxt + 1  # below 2**62 for the two billion tokens that a part never holds
+        order = np.argsort(key)
+        head = np.append(True, np.diff(key[order]) != 0)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(head) - 1
         width += step
@@ -301,24 +360,17 @@ def suffix_ranks(stream: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
 
 def boilerplate(pages: list[list[str]], names: list[tuple[str, ...]] | None = None) -> list[list[bool]]:
     """For each block of each page of one host: whether repeated long substrings cover it; pages of one name count once."""
-    ids: dict[str, int] = {"\n": 0}
-    tokens, page_of, cuts = [], [], []
     first: dict[tuple[str, ...], int] = {}
-    for p, blocks in enumerate(pages):
-        same = first.setdefault(tuple(blocks) if names is None else names[p], p)
-        spans = []
-        for x in blocks:
-            words = x.split()
-            spans.append((len(tokens), len(tokens) + len(words)))
-            tokens += [ids.setdefault(w, len(ids)) for w in words]
-            tokens.append(0)
-        page_of += [same] * (len(tokens) - len(page_of))
-        tokens.append(-1 - p)  # ends of pages are all different
-        page_of.append(same)
-        cuts.append(spans)
-    stream, owner = np.array(tokens, np.int64), np.array(page_of, np.int64)
+    same = [first.setdefault(tuple(blocks) if names is None else names[p], p) for p, blocks in enumerate(pages)]
+    found = [_tokens(blocks) for blocks in pages]
+    sizes = np.array([len(x) + 1 for x in found])
+    starts = np.cumsum(sizes) - sizes
+    stream = np.unique(np.concatenate([np.append(x, np.uint64(0)) for x in found]), return_inverse=True)[1].astype(np.int64) if pages else np.empty(0, np.int64)
     if len(stream) < MIN_TOKENS:
         return [[False] * len(x) for x in pages]
+    stream[starts + sizes - 1] = -1 - np.arange(len(pages))  # ends of pages are all different
+    owner = np.repeat(np.array(same), sizes)
+    cuts = [list(zip((s + np.append(0, z[:-1])).tolist(), (s + z - 1).tolist())) if len(z) else [] for s, z in zip(starts, map(_ends, pages))]
     order, rank = suffix_ranks(stream, MIN_TOKENS)
     pair = np.unique(rank * len(pages) + owner)
     distinct = np.bincount(pair // len(pages), minlength=len(stream))

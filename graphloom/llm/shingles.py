@@ -36,8 +36,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.made = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every word of the bytes, A-Z lower-cased."""
+def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every word of the bytes, A-Z lower-cased or not."""
     solid = np.empty(len(data) + 2, np.int8)
     solid[0] = solid[-1] = 0
     solid[1:-1] = ~_BLANK[data]
@@ -45,7 +45,7 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
     return starts, mixed(h + (ends - starts).astype(np.uint64) * _STEPS[0])
 
@@ -72,7 +72,7 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             hi += 1
         doc_at = np.cumsum([0] + [len(x) + 1 for x in raw[:-1]])
         data = np.frombuffer(b" ".join(raw), np.uint8)
-        starts, w = _word_hashes(data)
+        starts, w = word_hashes(data)
         owner = np.searchsorted(doc_at, starts, side="right") - 1
         n = np.bincount(owner, minlength=len(raw))
         first = np.cumsum(n) - n
