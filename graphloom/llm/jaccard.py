@@ -9,10 +9,11 @@ common with its partner, so only those are posted, and none that occurs in a sin
   when they share a subset as large as the overlap they need, so each subset's sets hang on its
   smallest set and nothing is verified.
 * Larger sets scan inverted lists. Light lists give candidate pairs, which are verified set against
-  set; heavy lists are scanned whole, in blocks of bounded bytes, by counting overlaps.
+  set; heavy lists are scanned whole, in blocks of bounded sets and shingles, by counting overlaps. Sets
+  that link with the first one of a heavy list are connected by that, so blocks of them do not meet.
 
 Links only serve to connect, so no list emits all pairs of its sets. Defined results: a text without
-words has an empty set and links with nothing; rows repeated in id and text count once; an
+words has an empty set and links with nothing, a null text likewise; an empty table gives an empty table; rows repeated in id and text count once; an
 id with several texts has a set, and links, for each of them; a null id is
 a row without links; extra columns are not read.
 """
@@ -35,12 +36,15 @@ from graphloom.plans.components import components
 
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Sets up to this size may enumerate subsets; the costs choose a boundary from 0 to here.
-MOST_SMALL = 10
+#: Sets up to this size may enumerate subsets; the costs choose a boundary from 0 to here. Beyond, a set
+#: has thousands of subsets (4845 at 20 shingles), more than its lists ever hold.
+MOST_SMALL = 16
+#: Rows moved for each pair that a list gives (told apart, met with either set) and for each subset (grouped, joined).
+PAIR_ROWS, SUBSET_ROWS = 3, 2
 #: Inverted lists with more sets than this are heavy.
 HEAVY = 48
-#: Shingles of a block of a heavy list.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles, and sets, of a block of a heavy list: a pair of blocks takes 50 MB, whatever the sets.
+BLOCK_SHINGLES, BLOCK_SETS = 500_000, 1000
 
 
 def needed(a: int, b: int) -> int:
@@ -172,7 +176,10 @@ def overlap_links(docs: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list
     thin = thin[np.argsort(col[thin], kind="stable")]
     for run in np.split(owner[thin], np.flatnonzero(np.diff(col[thin])) + 1) if len(thin) else []:
         overlap[np.ix_(run, run)] += 1
-    link = (100 + PERCENT) * overlap >= PERCENT * (sizes[:, None] + sizes[None, :]).astype(np.float32)
+    link = np.empty((n, n), bool)
+    for lo in range(0, n, 256):
+        link[lo : lo + 256] = (100 + PERCENT) * overlap[lo : lo + 256] >= np.float32(PERCENT) * (sizes[lo : lo + 256, None] + sizes[None, :]).astype(np.float32)
+    del overlap
     left = np.ones(n, bool)
     out = []
     for i in np.argsort(docs, kind="stable"):
@@ -189,12 +196,32 @@ def overlap_links(docs: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list
 
 
 def _block_links(posts: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links from heavy lists, a bounded pair of blocks at a time."""
-    parts = lists.withColumn("parts", F.ceil(F.col("shingles_of") / F.lit(BLOCK_SHINGLES))).select("tok", "parts")
-    entries = posts.join(parts, "tok").withColumn("own", F.pmod(F.xxhash64("doc", "tok"), F.col("parts")))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    entries = entries.select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "n")
-    full = entries.join(sets.select("doc", "shingles"), "doc")
+    """Links from heavy lists: of each list's first set with all others, then of a bounded pair of blocks at a time.
+
+    Only what the first set does not link with still has to meet every block: one share of near copies
+    costs a row for each set, not one for each pair of blocks.
+    """
+    own = sets.select("doc", "shingles")
+    first = posts.groupBy("tok").agg(F.min(F.struct("n", "doc")).alias("m")).select("tok", F.col("m.doc").alias("hub"), F.col("m.n").alias("hub_n"))
+    near = posts.join(first, "tok").where((F.col("doc") != F.col("hub")) & (100 * F.col("hub_n") >= PERCENT * F.col("n")))
+    both = near.select("doc", "n", "hub", "hub_n").distinct().join(own, "doc").join(own.select(F.col("doc").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    common = F.size(F.array_intersect("shingles", "of_hub"))
+    stars = staged(both.where((100 + PERCENT) * common >= PERCENT * (F.col("n") + F.col("hub_n"))).select(F.col("hub").alias("src"), F.col("doc").alias("dst")), "jaccard-stars")
+
+    linked = stars.select(F.col("src").alias("hub"), F.col("dst").alias("doc"), F.lit(True).alias("done"))
+    done = F.coalesce("done", F.col("doc") == F.col("hub"))
+    marked = staged(posts.join(first, "tok").join(linked, ["hub", "doc"], "left").select("tok", "doc", "n", done.alias("done")), "jaccard-heavy")
+    # blocks of sets that the first one connects come apart from the blocks of the others
+    shares = marked.groupBy("tok", "done").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count("*") / F.lit(BLOCK_SETS))).alias("parts"))
+    parts = shares.groupBy("tok").agg(F.coalesce(F.max(F.when(F.col("done"), F.col("parts"))), F.lit(0)).alias("of_done"), F.coalesce(F.max(F.when(~F.col("done"), F.col("parts"))), F.lit(0)).alias("of_open"))
+    entries = marked.join(parts.where("of_open > 0"), "tok")
+    hashed = F.xxhash64("doc", "tok")
+    entries = entries.withColumn("own", F.when(F.col("done"), -1 - F.pmod(hashed, F.greatest("of_done", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("of_open", F.lit(1)))))
+    # blocks of the open sets, from 0 on, meet all blocks; those of the others, below 0, only these
+    opens = F.sequence(F.lit(0).cast("long"), F.col("of_open") - 1)
+    others = F.when(F.col("done") | (F.col("of_done") == 0), opens).otherwise(F.concat(opens, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("of_done", F.lit(1))), lambda k: -k)))
+    entries = entries.withColumn("other", F.explode(others)).select("tok", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "n")
+    full = entries.join(own, "doc")
 
     def scan(t: pa.Table) -> pa.Table:
         flat = t.column("shingles").combine_chunks()
@@ -202,15 +229,15 @@ def _block_links(posts: DataFrame, sets: DataFrame, lists: DataFrame) -> DataFra
         out = overlap_links(t.column("doc").to_numpy(), t.column("n").to_numpy(), flat)
         return pa.table({"src": pa.array([a for a, _ in out], pa.int64()), "dst": pa.array([b for _, b in out], pa.int64())})
 
-    return full.groupBy("tok", "x", "y").applyInArrow(scan, "src long, dst long").distinct()
+    return stars.union(full.groupBy("tok", "x", "y").applyInArrow(scan, "src long, dst long").distinct())
 
 
 def boundary_by_cost(posts: DataFrame, lists: DataFrame) -> int:
-    """The set size up to which enumerating subsets costs less rows than scanning the lists of such sets."""
+    """The set size up to which enumerating subsets moves fewer rows than scanning the lists of such sets."""
     few = posts.where(F.col("n") <= MOST_SMALL)
     scan = few.join(lists.select("tok", "entries"), "tok").groupBy("n").agg(F.sum("entries").alias("scan"))
     sets = few.groupBy("n").agg(F.countDistinct("doc").alias("sets"))
-    cost = {r["n"]: (r["sets"] * sum(math.comb(r["n"], c) for c in subset_sizes(r["n"])), r["scan"] or 0) for r in sets.join(scan, "n", "left").collect()}
+    cost = {r["n"]: (SUBSET_ROWS * r["sets"] * sum(math.comb(r["n"], c) for c in subset_sizes(r["n"])), PAIR_ROWS * (r["scan"] or 0)) for r in sets.join(scan, "n", "left").collect()}
     totals = {b: sum(x if n <= b else y for n, (x, y) in cost.items()) for b in range(MOST_SMALL + 1)}
     return min(totals, key=lambda b: (totals[b], b))
 
@@ -242,5 +269,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     ends = linked.join(least, "component").select("n", "h1", "h2", "component_id")
     reps = same.join(ends, ["n", "h1", "h2"], "left").select("n", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sums.join(reps, ["n", "h1", "h2"], "left")
+    # rows without a set have nothing to meet; a hot set's rows split over tasks, as its rep is one row (skew join)
+    out = sums.where("n > 0").join(reps, ["n", "h1", "h2"], "left").select("doc", "n", "component_id")
+    out = out.union(sums.where("n = 0").select("doc", "n", F.lit(None).cast("long")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")).distinct()
