@@ -1,13 +1,16 @@
 """Quality rules by labelling a document's lines: Viterbi decoding of a linear-chain conditional random field.
 
 Each line with a word is a node with a handful of features; the chain has two labels, content and
-boilerplate. The weights are fitted by gradient ascent on a bounded sample whose lines take over the
-quality label of their document. A document is kept when the basic counts do not fail it and lines
-labelled content hold at least KEEP_SHARE of its words.
+boilerplate. The sample says which documents are good, not which lines, so line labels are latent: they
+are guessed from a line-by-line fit, with lines that several documents share as boilerplate, under
+the constraint that lines against their document's label hold at most ODD_SHARE of its words; then
+the chain is fitted to the guess by gradient ascent and guesses again. A document is kept when the
+basic counts do not fail it and lines labelled content hold at least KEEP_SHARE of its words.
 
 Defined results: null, empty and blank texts have no words, fail the basic counts and are not kept;
-equal path scores decode as content; with no labelled rows every line is content. Texts are read
-whole; repeated rows are judged alike.
+equal path scores decode as content; with no labelled rows every line is content; an empty table gives an
+empty table. Texts are read whole, however long; repeated rows are judged alike; only the columns asked for
+pass through, and names of the results must not be among them.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a document's words that content lines must hold.
 KEEP_SHARE = 0.5
-#: Bounds of the fit: documents, characters of each, lines of each; steps of gradient ascent.
-FIT_DOCS, FIT_CHARS, FIT_LINES, STEPS = 1500, 20_000, 60, 120
+#: Bounds of the fit: documents, characters of each; lines of a chain, of which a document may give several; steps of gradient ascent.
+FIT_DOCS, FIT_CHARS, FIT_LINES, STEPS = 1500, 20_000, 30, 60
+#: A line that so many documents of the sample hold is boilerplate; a guess as sure as SURE may go against the document's label.
+SHARED, SURE, ROUNDS = 3, 0.9, 2
+#: Share of the words that lines labelled against their document may hold at most in the fit.
+ODD_SHARE = 0.1
 N_FEATURES = 12
 CONTENT, BOILERPLATE = 0, 1
 
@@ -91,49 +98,88 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(path[::-1], np.int8)
 
 
-def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(emission weights (N_FEATURES, 2), transition weights (2, 2)) by exact forward-backward gradients."""
-    docs = [(f[:FIT_LINES], CONTENT if y == 1 else BOILERPLATE) for t, y in sample for f in [line_features(t)[0]] if len(f)]
-    w, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    if not docs:
-        return w, move
-    n, most = len(docs), max(len(f) for f, _ in docs)
-    x = np.zeros((n, most, N_FEATURES))
-    live = np.zeros((n, most), bool)
-    gold = np.zeros((n, most), np.int64)
-    for i, (f, y) in enumerate(docs):
-        x[i, : len(f)], live[i, : len(f)], gold[i] = f, True, y
-    # the rarer label weighs as much as the other
-    share = np.bincount([y for _, y in docs], minlength=2) / n
-    weight = np.array([0.5 / max(share[y], 1e-9) for _, y in docs]) / n
+def _ascend(chains: list[np.ndarray], gold: list[np.ndarray], per: np.ndarray, w: np.ndarray, move: np.ndarray, steps: int) -> None:
+    """Fits ``w`` and ``move`` in place to the labels of the chains' lines, each line of a chain weighing ``per``."""
+    n, most = len(chains), max(map(len, chains))
+    x, live, label = np.zeros((n, most, N_FEATURES)), np.zeros((n, most), bool), np.zeros((n, most), np.int64)
     observed = np.zeros_like(move)
-    for i, (f, y) in enumerate(docs):
-        observed[y, y] += weight[i] * (len(f) - 1) / len(f)
-    per = weight / live.sum(1)
+    for i, (f, y) in enumerate(zip(chains, gold)):
+        x[i, : len(f)], live[i, : len(f)], label[i, : len(f)] = f, True, y
+        np.add.at(observed, (y[:-1], y[1:]), per[i])
     pace = [np.zeros_like(w), np.zeros_like(move)]
-    for _ in range(STEPS):
-        e = x @ w
-        fwd, bwd = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        fwd[:, 0] = e[:, 0]
-        for t in range(1, most):
-            nxt = np.logaddexp(fwd[:, t - 1, :1] + move[0], fwd[:, t - 1, 1:] + move[1]) + e[:, t]
-            fwd[:, t] = np.where(live[:, t, None], nxt, fwd[:, t - 1])
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        expected = np.zeros_like(move)
-        for t in range(most - 2, -1, -1):
-            after = e[:, t + 1] + bwd[:, t + 1]
-            nxt = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
-            on = live[:, t + 1, None]
-            bwd[:, t] = np.where(on, nxt, bwd[:, t + 1])
-            joint = fwd[:, t, :, None] + move + after[:, None, :] - z[:, None, None]
-            expected += (np.exp(np.minimum(joint, 0)) * (on * per[:, None])[:, :, None]).sum(0)
-        p = np.exp(np.minimum(fwd + bwd - z[:, None, None], 0))
-        diff = (np.eye(2)[gold] - p) * (live * per[:, None])[:, :, None]
-        steps = [np.einsum("ntf,ntk->fk", x, diff) - 1e-4 * w, observed - expected - 1e-4 * move]
-        for target, g, m in zip((w, move), steps, pace):
+    for _ in range(steps):
+        p, expected = _posterior(x, live, per, w, move)
+        diff = (np.eye(2)[label] - p) * (live * per[:, None])[:, :, None]
+        for target, g, m in zip((w, move), (np.einsum("ntf,ntk->fk", x, diff) - 1e-4 * w, observed - expected - 1e-4 * move), pace):
             m *= 0.9
             m += g
             target += 2.0 * m
+
+
+def _posterior(x: np.ndarray, live: np.ndarray, per: np.ndarray, w: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities of every line, expected moves) by the forward and backward sums."""
+    most = x.shape[1]
+    e = x @ w
+    fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+    fwd[:, 0] = e[:, 0]
+    for t in range(1, most):
+        nxt = np.logaddexp(fwd[:, t - 1, :1] + move[0], fwd[:, t - 1, 1:] + move[1]) + e[:, t]
+        fwd[:, t] = np.where(live[:, t, None], nxt, fwd[:, t - 1])
+    z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+    expected = np.zeros_like(move)
+    for t in range(most - 2, -1, -1):
+        after = e[:, t + 1] + bwd[:, t + 1]
+        nxt = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
+        on = live[:, t + 1, None]
+        bwd[:, t] = np.where(on, nxt, bwd[:, t + 1])
+        joint = fwd[:, t, :, None] + move + after[:, None, :] - z[:, None, None]
+        expected += (np.exp(np.minimum(joint, 0)) * (on * per[:, None])[:, :, None]).sum(0)
+    return np.exp(np.minimum(fwd + bwd - z[:, None, None], 0)), expected
+
+
+def constrained(boiler: np.ndarray, sizes: np.ndarray, good: bool, shared: np.ndarray) -> np.ndarray:
+    """Line labels of one document from the chance that each is boilerplate: its own label is the rule, sure guesses differ, the words decide.
+
+    Where these would hold too many of the words, the least sure guesses are taken back.
+    """
+    odd = (boiler > SURE) | shared if good else (boiler < 1 - SURE) & ~shared
+    total, held = sizes.sum(), sizes[odd].sum()
+    for i in np.flatnonzero(odd)[np.argsort(np.abs(boiler[odd] - 0.5), kind="stable")]:
+        if held <= ODD_SHARE * total:
+            break
+        odd[i] = False
+        held -= sizes[i]
+    return np.where(odd, BOILERPLATE if good else CONTENT, CONTENT if good else BOILERPLATE)
+
+
+def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(emission weights (N_FEATURES, 2), transition weights (2, 2)): latent line labels and the chain fitted to them, by turns."""
+    w, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+    docs = [(t, f, sizes, y == 1) for t, y in sample for f, sizes in [line_features(t)] if len(f)]
+    if not docs:
+        return w, move
+    holds = Counter(x for t, *_ in docs for x in {y.strip(BLANKS) for y in t.split("\n")})
+    shared = [np.array([holds[x.strip(BLANKS)] >= SHARED for x in t.split("\n") if x.strip(BLANKS)]) for t, *_ in docs]
+    # the rarer label weighs as much as the other, and a document as much as another
+    good = np.array([y for *_, y in docs])
+    weight = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
+    cuts = [(i, a) for i, (_, f, _, _) in enumerate(docs) for a in range(0, len(f), FIT_LINES)]
+    chains = [docs[i][1][a : a + FIT_LINES] for i, a in cuts]
+    per = np.array([weight[i] / len(docs[i][1]) for i, _ in cuts])
+    cut = lambda labels: [labels[i][a : a + FIT_LINES] for i, a in cuts]
+    labels = [np.full(len(f), CONTENT if y else BOILERPLATE) for _, f, _, y in docs]
+    lines = [x[None] for f in chains for x in f]
+    _ascend([f for f in lines], [y[k : k + 1] for y in cut(labels) for k in range(len(y))], np.repeat(per, list(map(len, chains))), w, move, STEPS // 2)
+    for turn in range(ROUNDS):
+        for k, (_, f, sizes, y) in enumerate(docs):
+            if turn:
+                p = _posterior(f[None], np.ones((1, len(f)), bool), np.ones(1), w, move)[0][0, :, BOILERPLATE]
+            else:  # line by line
+                e = f @ w
+                p = 1 / (1 + np.exp(np.clip(e[:, CONTENT] - e[:, BOILERPLATE], -50, 50)))
+            labels[k] = constrained(p, sizes, bool(y), shared[k])
+        w, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+        _ascend(chains, cut(labels), per, w, move, STEPS)
     return w, move
 
 
