@@ -339,6 +339,31 @@ def test_top_k(spark, monkeypatch):
     assert set(got) == set(range(0, 400, 50))
 
 
+def test_top_k_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, score int, `__id` string"
+    assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).collect() == []
+    rows = [(0, [1.0, -2.0], 9, "x"), (0, [1.0, -2.0], 8, "y"), (1, [1.0, -2.0], 7, "z"), (2, [1.0, -2.0], 7, "z"), (None, [1.0, 1.0], 1, "n")]
+    got = topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 5 * 256 * 256), (0, 2, 2, 5 * 256 * 256)]
+
+
+def test_threshold_search_with_a_floor():
+    """A floor from elsewhere loses no result that reaches it, ties included, and saves rows where scores are skewed."""
+    rng = np.random.default_rng(7)
+    rows = np.floor(rng.pareto(2.0, size=(2000, 8)) * 40)
+    lists, ids = topk.sorted_lists(rows), np.arange(2000)
+    scored = 0
+    for q in range(20):
+        query = rows[q * 7]
+        every = sorted(((-int(s), int(i)) for i, s in enumerate(rows @ query) if i != q * 7))[:5]
+        assert [(-s, i) for s, i in topk.threshold_search(query, q * 7, ids, rows, lists, 5)[0]] == every
+        floor = -every[2][0]
+        found, n = topk.threshold_search(query, q * 7, ids, rows, lists, 5, floor)
+        assert [(-s, i) for s, i in found] == [x for x in every if -x[0] >= floor]
+        scored += n
+    assert scored < 0.7 * 20 * 2000
+
+
 def test_threshold_search_stops_early():
     rows = np.zeros((1000, 4))
     rows[:3] = 50
@@ -423,9 +448,49 @@ def test_classifiers_learn_the_noise(monkeypatch):
     assert 0 <= quality_cnn.score(net, None) == quality_cnn.score(net, "") <= 1
     assert quality_cnn.score(quality_cnn.fit([]), "any") == 0.5
     w = line_crf.fit(sample)
+    assert line_crf.judge("some text", *line_crf.fit([]))[6] == 1.0
     assert sum(line_crf.judge(t, *w)[-1] == bool(y) for t, y in test) >= 38
 
 
+def test_lines_of_one_document_get_both_labels(spark):
+    rng = random.Random(13)
+    footer = [noisy(rng, 6) for _ in range(3)]
+
+    def mixed_doc():
+        return "\n".join([prose(rng, 12) + "." for _ in range(6)] + footer[: rng.randint(2, 3)])
+
+    sample = [("\n".join(prose(rng, 12) + "." for _ in range(6)), 1) for _ in range(40)] + [(mixed_doc(), 1) for _ in range(40)] + [("\n".join(noisy(rng, 8) for _ in range(6)), 0) for _ in range(40)]
+    w, move = line_crf.fit(sample)
+    for _ in range(5):
+        text = mixed_doc()
+        path = line_crf.viterbi(line_crf.line_features(text)[0] @ w, move)
+        assert list(path[:6]) == [line_crf.CONTENT] * 6 and set(path[6:]) == {line_crf.BOILERPLATE}
+        assert 0 < line_crf.judge(text, w, move)[6] < 1
+    rows = line_crf.apply_rules(spark.createDataFrame([(1, mixed_doc()), (1, None)], "doc_id long, text string"), (w, move)).collect()
+    assert sorted((r.kept, 0 < r.content_share < 1) for r in rows) == [(False, False), (True, True)]
+    assert line_crf.apply_rules(empty(spark), (w, move)).collect() == []
+
+
+def test_constrained_labels_follow_the_document():
+    p, sizes, none = np.array([0.99, 0.5, 0.01, 0.02]), np.array([1, 40, 40, 40]), np.zeros(4, bool)
+    assert list(line_crf.constrained(p, sizes, True, none)) == [1, 0, 0, 0]
+    assert list(line_crf.constrained(p, sizes, False, none)) == [1, 1, 1, 1]  # sure content, but too much of a bad document
+    assert list(line_crf.constrained(p, np.array([1, 1, 1, 40]), True, np.array([0, 0, 1, 0], bool))) == [1, 0, 1, 0]
+
+
+def test_classify_through_spark(spark, docs, rows):
+    net = quality_cnn.fit([])
+    got = quality_cnn.classify(docs, net).collect()
+    assert len(got) == len(rows) and all(r.quality_score == 0.5 and r.quality_pred == 1 for r in got)
+    net = quality_cnn.Net(np.random.default_rng(1).normal(size=net.table.shape).astype(np.float32), net.bias, net.out + 1, float(np.log(0.3 / 0.7)) - 1e-9)
+    by = collections.defaultdict(set)
+    for r in quality_cnn.classify(docs.select("doc_id", "text"), net, keep=("doc_id", "text")).collect():
+        by[r.text or ""].add((r.quality_score, r.quality_pred))
+        assert r.quality_pred == (r.quality_score >= quality_cnn.THRESHOLD) and r.quality_score == pytest.approx(quality_cnn.score(net, r.text))
+    assert all(len(x) == 1 for x in by.values())
+    assert quality_cnn.classify(empty(spark), net).collect() == []
+
+
 def test_chunks_cover_every_position():
     for n in (1, 63, 64, 65, 128, 200):
         r = np.zeros((n, 1), np.float32)
