@@ -15,7 +15,8 @@ text; a null url is a host of its own; repeated rows, also in page_id, are pages
 empty table; columns other than page_id, url and html are not read; pages of one article, or of one stream where there is none, count once,
 so mirrors do not remove each other;
 a host of many pages or bytes is split by hash into parts of about GROUP_PAGES or GROUP_BYTES. Its
-windows of MIN_TOKENS tokens are counted over all parts, by hash, so the split changes no result.
+windows of MIN_TOKENS tokens are counted over all parts, by hash, so the split changes no result. Up to
+FEW_WINDOWS of these windows go to the pages as they are; more meet the pages part by part.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import staged
 from graphloom.llm.frequency import class_table, classes_of
 from graphloom.llm.shingles import mixed, word_hashes
 
@@ -39,6 +41,8 @@ MIN_TOKENS, MIN_PAGES, GROUP_PAGES, GROUP_BYTES = 8, 3, 2000, 32_000_000
 PIECE = 6
 #: Windows that a task holds before it hands them on.
 HELD = 1_000_000
+#: Repeated windows of split hosts, eight bytes each, that are broadcast at most.
+FEW_WINDOWS = 1_000_000
 
 # Fixed values of HTML: elements by their part in a page.
 UNSEEN = frozenset("script style noscript template svg iframe object head title textarea select button canvas audio video".split())
@@ -390,7 +394,9 @@ def extract(pages: DataFrame) -> DataFrame:
     for row in _sizes(pages).where("parts > 1").orderBy("host").collect():
         split[row["host"]] = (first, row["parts"])
         first += row["parts"]
-    read = _read(pages, split)
+    hot = staged(_hot_windows(pages, split), "html-windows") if split else None
+    few = hot.select("w").distinct().limit(FEW_WINDOWS + 1).toArrow().column("w").to_numpy() if split else np.empty(0, np.int64)
+    in_place = split and len(few) <= FEW_WINDOWS
 
     def text_of(t: pa.Table, hot: np.ndarray | None) -> pa.Table:
         found = [_unpack(x) for x in t.column("packed").to_pylist()]
@@ -406,6 +412,29 @@ def extract(pages: DataFrame) -> DataFrame:
         return text_of(t, np.sort(hits.column("w").to_numpy().view(np.uint64)) if t.num_rows and t.column("part")[0].as_py() else None)
 
     schema = "page_id long, url string, text string"
-    groups = read.groupBy("host", "part")
-    decided = groups.cogroup(_hot_windows(pages, split).groupBy("host", "part")).applyInArrow(of_part, schema) if split else groups.applyInArrow(of_host, schema)
+    if not in_place:
+        groups = _read(pages, split).groupBy("host", "part")
+        decided = groups.cogroup(hot.groupBy("host", "part")).applyInArrow(of_part, schema) if split else groups.applyInArrow(of_host, schema)
+        return decided.withColumn("n_chars", F.char_length("text").cast("long"))
+    bundle = pages.sparkSession.sparkContext.broadcast(np.sort(few.view(np.uint64)))  # of FEW_WINDOWS at most
+
+    def of_split_hosts(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([(_host(u) in split) == wanted for u in b.column("url").to_pylist()], pa.bool_()))
+
+        return run
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            out = []
+            for u, x in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
+                stream = page_stream(x)
+                blocks, inside = [y for y, _ in stream], [m for _, m in stream]
+                out.append(kept_text(blocks, inside, covered_blocks(_host(u), blocks, bundle.value)))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    raw, as_read = pages.select("page_id", "url", "html"), "page_id long, url string, html string"
+    alone = _read(raw.mapInArrow(of_split_hosts(False), as_read), split).groupBy("host", "part").applyInArrow(of_host, schema)
+    decided = alone.union(raw.mapInArrow(of_split_hosts(True), as_read).mapInArrow(decide, schema))
     return decided.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -207,6 +207,8 @@ def test_html_parts_of_a_host_count_together(spark, monkeypatch):
     whole = {r.page_id: r.text for r in html_text.extract(table).collect()}
     monkeypatch.setattr(html_text, "GROUP_PAGES", 3)
     parts = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    monkeypatch.setattr(html_text, "FEW_WINDOWS", 2)
+    assert parts == {r.page_id: r.text for r in html_text.extract(table).collect()}
     assert parts == whole and len(parts) == len(pages)
     assert not any(notice in parts[i] for i in range(42)) and rare in parts[3] and rare in parts[4]
     assert parts[50] == tale and parts[97] == notice and parts[98] == parts[99] == ""
