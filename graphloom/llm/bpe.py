@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from graphloom.llm.common import releasing, small_batches
+
 #: Entries kept by each memo before it starts anew; this bounds a worker's memory, not its results.
 MEMO = 150_000
 #: Signs that the pattern splits from the letters before them.
@@ -247,4 +249,5 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, added: list[tup
                 yield pa.RecordBatch.from_arrays(cols, names=names + new)
         bpe.forget()
 
-    return docs.mapInArrow(run, T.StructType([*fields, *[T.StructField(n, t) for n, t in added]]))
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(releasing(run), T.StructType([*fields, *[T.StructField(n, t) for n, t in added]]))

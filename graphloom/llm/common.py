@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import binascii
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,30 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 HOLDOUT_MOD = 5
 
 
+#: Rows of an Arrow batch: whole texts are kilobytes, so Spark's default of 10,000 rows holds tens of megabytes at each end.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets smaller Arrow batches where the session has Spark's default; results do not depend on it."""
+    name, usual, rows = BATCH_ROWS
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, rows)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which the worker, which Spark keeps for later tasks, gives free memory back."""
+
+    @wraps(run)
+    def released(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return released
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm.common import releasing
+
 #: Counts at which the classes 1, 2 and 3 begin.
 CLASSES = (2, 8, 64)
 #: Bits of the table's address, at least and at most: it never takes more than 2**28 / 4 bytes.
@@ -69,7 +71,7 @@ def class_table(texts: DataFrame, hashes: Callable[[list[str | None]], np.ndarra
         packed = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
         return pa.table({"bucket": t.column("bucket").slice(0, 1), "table": pa.array([packed.tobytes()], pa.binary())})
 
-    counted = texts.mapInArrow(blobs, "bucket long, blob binary").groupBy("bucket").applyInArrow(count, "bucket long, table binary")
+    counted = texts.mapInArrow(releasing(blobs), "bucket long, blob binary").groupBy("bucket").applyInArrow(count, "bucket long, table binary")
     whole = bytearray(1 << (bits - 2))
     width = len(whole) >> split
     for r in counted.toLocalIterator():

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import staged
+from graphloom.llm.common import small_batches, staged
 from graphloom.llm.frequency import class_table, classes_of
 from graphloom.llm.shingles import mixed, word_hashes
 
@@ -390,6 +390,7 @@ def boilerplate(pages: list[list[str]], names: list[tuple[str, ...]] | None = No
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
     # at most a row for every GROUP_PAGES pages and GROUP_BYTES bytes
+    small_batches(pages.sparkSession)
     split, first = {}, 1
     for row in _sizes(pages).where("parts > 1").orderBy("host").collect():
         split[row["host"]] = (first, row["parts"])

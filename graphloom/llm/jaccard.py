@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import shared_dir, staged
+from graphloom.llm.common import releasing, shared_dir, small_batches, staged
 from graphloom.llm.frequency import ROWS, class_table, classes_of
 from graphloom.llm.shingles import mixed, shingle_sets
 from graphloom.plans.components import components
@@ -80,7 +80,7 @@ def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
             sums = _sums(h, n)
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=["doc", "n", "h1", "h2"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).mapInArrow(run, "doc long, n long, h1 long, h2 long")
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).mapInArrow(releasing(run), "doc long, n long, h1 long, h2 long")
 
 
 def _posts(docs: DataFrame, key: str, text: str, table: bytes, bits: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _posts(docs: DataFrame, key: str, text: str, table: bytes, bits: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(some)), pa.array(n[some], pa.int64()), *names, lists, places, every], names=["doc", "n", "h1", "h2", "toks", "poss", "shingles"])
 
     schema = "doc long, n long, h1 long, h2 long, toks array<long>, poss array<long>, shingles array<long>"
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null").mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null").mapInArrow(releasing(run), schema)
 
 
 def _subset_links(sets: DataFrame, boundary: int) -> DataFrame:
@@ -245,6 +245,7 @@ def boundary_by_cost(posts: DataFrame, lists: DataFrame) -> int:
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each distinct row: component_id is the smallest id it reaches by links."""
     spark = docs.sparkSession
+    small_batches(spark)
     sums = staged(_summaries(docs, key, text), "jaccard-sets")
     total = sums.agg(F.sum("n")).first()[0] or 0
     same = sums.where("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import releasing, small_batches
+from graphloom.llm.frequency import ROWS
+
 #: Bytes of text compressed at once: small enough that the dictionary matters in each block.
 BLOCK_BYTES = 2048
 #: Bound of the fit: documents sampled per language, and bytes taken from each.
@@ -101,10 +104,11 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Identifier(bundle.value)
-        for b in batches:
+        for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             found = [judge(x) for x in b.column(text).to_pylist()]
             cols = [b.column(n) for n in names]
             cols += [pa.array([x[i] for x in found], t) for i, t in ((0, pa.string()), (1, pa.float64()), (2, pa.bool_()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "lang_score", "lang_rejected"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*names).mapInArrow(releasing(run), schema)

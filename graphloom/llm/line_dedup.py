@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WORD_RE, as_row, staged
+from graphloom.llm.common import WORD_RE, as_row, releasing, small_batches, staged
 from graphloom.llm.frequency import ROWS, class_table, classes_of
 from graphloom.llm.shingles import mixed
 
@@ -81,6 +81,7 @@ def fingerprints(mark: np.ndarray, size: np.ndarray, spot: np.ndarray) -> np.nda
 
 def repeated_windows(docs: DataFrame, text: str, key: str, words: int | None = None) -> DataFrame:
     """(doc, starts): the windows of each text, by place and length, that repeat an earlier one."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null")
 
     def selected(texts: list[str]) -> np.ndarray:
@@ -123,7 +124,7 @@ def repeated_windows(docs: DataFrame, text: str, key: str, words: int | None = N
         if held:
             yield flush()
 
-    found = staged(own.mapInArrow(run, "doc long, place long, size long, mark long, content long"), "line-windows")
+    found = staged(own.mapInArrow(releasing(run), "doc long, place long, size long, mark long, content long"), "line-windows")
     like = ["mark", "size", "content"]
     sent = found.where("content is not null")
     # one aggregate per window: its earliest place; a window seen once has no group of two
@@ -157,4 +158,4 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*names, "n_lines", "n_removed_lines", "n_runs"])
 
     schema = T.StructType([*fields, *[T.StructField(x, T.LongType()) for x in ("n_lines", "n_removed_lines", "n_runs")]])
-    return rows.select("__row", "__t", "__starts").mapInArrow(run, schema)
+    return rows.select("__row", "__t", "__starts").mapInArrow(releasing(run), schema)

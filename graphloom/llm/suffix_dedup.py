@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.anchors import GRAM, LENGTH, anchor_runs, gathered, prefix_sums
-from graphloom.llm.common import staged
+from graphloom.llm.common import releasing, small_batches, staged
 from graphloom.llm.frequency import ROWS, class_table, classes_of
 from graphloom.llm.shingles import _powers, mixed
 
@@ -233,7 +233,7 @@ def _named_strings(docs: DataFrame, table: bytes, bits: int, split: int) -> Data
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "chunk long, bucket long, h binary, name binary, left binary, right binary, doc binary, start binary, span binary")
+    return docs.mapInArrow(releasing(run), "chunk long, bucket long, h binary, name binary, left binary, right binary, doc binary, start binary, span binary")
 
 
 def _settle(bits: int, split: int):
@@ -320,7 +320,7 @@ def _shards(docs: DataFrame, table: bytes, sides: bytes, bits: int, split: int,
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket long, last binary, doc binary, start binary, size binary, span binary")
+    return docs.mapInArrow(releasing(run), "bucket long, last binary, doc binary, start binary, size binary, span binary")
 
 
 def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
@@ -376,6 +376,7 @@ def row_places_all(last: list[np.ndarray], size: list[np.ndarray]) -> tuple[np.n
 
 def repeat_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, spans): for each text that loses bytes, packed byte spans [lo, hi) that repeats of smaller ids cover, in no order."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t")).where("doc is not null and __t is not null")
     total = own.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
     table, bits = class_table(own.select("__t"), _anchor_hashes, total // 16)
@@ -424,4 +425,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return rows.select("__key", "__t", "spans").mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.select("__key", "__t", "spans").mapInArrow(releasing(run), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
