@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", token_ids),
 ]
 
-#: Language identification compresses texts, which SQL cannot express; tests hold every stage against plain versions.
+#: Language identification compresses texts, which SQL cannot express; tests hold every stage to the effect it must have.
 ORACLE_SQL = None
 
 
