@@ -28,6 +28,18 @@ def parse_metrics(lines: DataFrame) -> DataFrame:
     return rows.where("metric <> ''").withColumn("value", F.col("value").cast("double"))
 
 
+def parse_accuracy(lines: DataFrame) -> DataFrame:
+    """(part, test_acc, border_acc), in percent, of ``[Part: i] ... Test accuracy: x% ... Test is_border accuracy: y%`` lines."""
+    found = lambda pattern: F.regexp_extract("value", pattern, 1)
+    rows = lines.select(found(r"\[Part: (\d+)\]").alias("part"), found(r"Test accuracy: ([0-9.]+)%").alias("test_acc"), found(r"Test is_border accuracy: ([0-9.]+)%").alias("border_acc"))
+    return rows.where("part <> '' and test_acc <> ''").select(F.col("part").cast("int").alias("part"), F.col("test_acc").cast("double").alias("test_acc"), F.when(F.col("border_acc") != "", F.col("border_acc")).cast("double").alias("border_acc"))
+
+
+def party_accuracy(rows: DataFrame) -> DataFrame:
+    """(part, runs, test_acc, border_acc): the means of each party."""
+    return rows.groupBy("part").agg(F.count("*").alias("runs"), F.avg("test_acc").alias("test_acc"), F.avg("border_acc").alias("border_acc"))
+
+
 def parse_traffic(lines: DataFrame) -> DataFrame:
     """(iface, download_mb, upload_mb) of the virtual interfaces in a traffic table, largest download first."""
     parts = F.split(F.trim("value"), r"\s+")

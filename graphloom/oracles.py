@@ -111,6 +111,8 @@ ORACLE_SQL: dict[str, str] = {
     "degree_out": sql(GRAPH, "SELECT v.vid, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.vid GROUP BY v.vid"),
     "bag_degrees": sql(GRAPH, "SELECT vid, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS vid, 1 AS o, 0 AS i FROM base UNION ALL SELECT dst, 0, 1 FROM base) GROUP BY vid"),
     "edges_undirected": sql(GRAPH, "SELECT src, dst, count(*) AS copies FROM (SELECT src, dst FROM base UNION ALL SELECT dst, src FROM base) GROUP BY src, dst"),
+    "mapped_degrees": sql(GRAPH, "o AS (SELECT src, count(*) AS src_out FROM e GROUP BY src)", "SELECT e.src, e.dst, o.src_out, ind.in_degree AS dst_in FROM e JOIN o ON o.src = e.src JOIN ind ON ind.vid = e.dst"),
+    "accuracy_log": "SELECT (user_id % 4)::INT AS part, count(*) AS runs, round(avg((event_id % 100)::DOUBLE + (user_id % 10)::DOUBLE / 10), 6) AS test_acc, round(avg((event_id % 100)::DOUBLE + (user_id % 10)::DOUBLE / 10), 6) AS border_acc FROM events WHERE event_id % 5 <> 0 GROUP BY 1",
     "tile_lookup": sql(GRAPH, f"SELECT src, dst, src % {TILES} AS src_tid, dst % {TILES} AS dst_tid FROM e"),
     "border_vertices": sql(GRAPH, "SELECT vid, is_border FROM brd"),
     "mirror_vertices": sql(GRAPH, f"SELECT DISTINCT src % {TILES} AS tid, dst AS vid, dst % {TILES} AS owner FROM e WHERE src % {TILES} <> dst % {TILES}"),

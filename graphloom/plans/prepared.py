@@ -48,6 +48,13 @@ class PreparedGraph:
     def out_degree(self) -> DataFrame:
         return self._degree("src", "out_degree")
 
+    @cached_property
+    def degree_edges(self) -> DataFrame:
+        """(src, dst, src_out, dst_in): every edge with its source's out-degree and its destination's in-degree."""
+        src = self.out_degree.select(F.col("vid").alias("src"), F.col("out_degree").alias("src_out"))
+        dst = self.in_degree.select(F.col("vid").alias("dst"), F.col("in_degree").alias("dst_in"))
+        return self.edges.join(src, "src").join(dst, "dst").select("src", "dst", "src_out", "dst_in")
+
     @cached_property
     def scale(self) -> DataFrame:
         """(vid, s): one over the root of in-degree + 1."""

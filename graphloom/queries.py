@@ -57,6 +57,11 @@ def edges_undirected(spark, d):
     return prep.undirected(base_edges(spark, d, n)).groupBy("src", "dst").agg(F.count("*").alias("copies"))
 
 
+@query
+def mapped_degrees(spark, d):
+    return from_tables(spark, d).degree_edges
+
+
 @query
 def tile_lookup(spark, d):
     return from_tables(spark, d).tiled_edges.select("src", "dst", "src_tid", "dst_tid")
@@ -575,6 +580,16 @@ def log_parse(spark, d):
     return runlog.parse_durations(lines).select("party", "seq", "tag", r6("seconds"))
 
 
+@query
+def accuracy_log(spark, d):
+    """Accuracies read back out of log lines, as means of each party; every fifth line is of another kind."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    percent = F.concat(F.pmod("event_id", F.lit(100)).cast("string"), F.lit("."), F.pmod("user_id", F.lit(10)).cast("string"), F.lit("%"))
+    line = F.concat(F.lit("[Part: "), F.pmod("user_id", F.lit(4)).cast("string"), F.lit("] Epoch: 3, Test accuracy: "), percent, F.lit(" Test is_border accuracy: "), percent)
+    lines = e.select(F.when(F.col("event_id") % 5 == 0, F.lit("[Part: 9] Loss: 0.5")).otherwise(line).alias("value"))
+    return runlog.party_accuracy(runlog.parse_accuracy(lines)).select("part", "runs", r6("test_acc"), r6("border_acc"))
+
+
 @query
 def traffic_text(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")

@@ -7,7 +7,7 @@ from graphloom import oracles, queries
 from tests.oracle import assert_same, connection
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["degree_in", "border_vertices", "tile_stats", "block_partition", "gcn_propagate", "gather_masked", "gcn_inference", "grad_w0_optimized", "share_linear_sum", "sssp_parent", "connected_components", "log_parse", "integer_functions"]
+NAMES = ["degree_in", "border_vertices", "tile_stats", "block_partition", "gcn_propagate", "gather_masked", "gcn_inference", "grad_w0_optimized", "share_linear_sum", "sssp_parent", "connected_components", "log_parse", "mapped_degrees", "accuracy_log", "integer_functions"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
