@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-m", "--max-iters", type=int, default=1000)
     p.add_argument("-u", "--undirected", action="store_true")
     p.add_argument("-s", "--source", type=int, default=0)
+    p.add_argument("-k", "--kernel", choices=["optimized", "original", "delayed"], default="optimized")
     p.add_argument("--grad", choices=["full", "optimized"], default="full")
     return p
 
@@ -37,9 +38,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     g = textio.read_graph(spark, a.edges, a.vertices if a.program in ("train", "infer") else None, a.partition, a.tiles // a.merge_factor, a.merge_factor, config.input_dim, a.undirected)
     if a.program in ("train", "infer"):
         g = g.cache()
-        # an epoch of two layers is six iterations
-        weights = gcn.train(g, config, max(1, a.max_iters // (3 * config.num_layers)), a.grad) if a.program == "train" else config.weights()
-        p = gcn.predict(g, weights)
+        # an epoch is three iterations a layer, or two where sums are kept
+        per = (3 if a.kernel == "optimized" else 2) * config.num_layers
+        weights = gcn.train(g, config, max(1, a.max_iters // per), a.grad, kernel=a.kernel) if a.program == "train" else config.weights()
+        p = gcn.predict(g, weights, a.kernel)
         metrics.accuracy_by_split(p, g, config.train_ratio, config.val_ratio).orderBy("tid", "metric").show(200, False)
         metrics.cross_entropy(p, g).orderBy("tid").show(200, False)
         out, name = p.select("vid", F.array_position("p", F.array_max("p")).alias("label")).withColumn("label", F.col("label") - 1), "label"

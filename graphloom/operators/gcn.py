@@ -86,27 +86,79 @@ def predict(g: PreparedGraph, weights: list[Matrix], kernel: str = "optimized")
     return forward(g, weights, kernel)[-1].select("vid", V.softmax(F.col("h")).alias("p"))
 
 
-def gradients(g: PreparedGraph, weights: list[Matrix], train: float = 0.2, grad: str = "full", cut: bool = True) -> list[DataFrame]:
-    """(tid, i, j, w) per layer: each tile's own weight gradient, over its number of training rows.
+def _kept(cut: bool):
+    return staged if cut else lambda df, name: df
+
+
+def _per_row(d: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A tile's summed gradient over its number of training rows; a tile without any has none."""
+    return d.join(sizes, "tid").select("tid", "i", "j", F.when(F.col("train_n") > 0, F.col("w") / F.col("train_n")).otherwise(F.lit(0.0)).alias("w"))
+
+
+def _train_sizes(g: PreparedGraph, train: float) -> DataFrame:
+    return metrics.reordered_index(g).groupBy("tid").agg(F.first(F.floor(F.col("n") * float(train))).alias("train_n"))
+
+
+def _back_through(e: DataFrame, w: Matrix) -> DataFrame:
+    return e.select("vid", V.times_matrix(F.col("h"), [list(c) for c in zip(*w)]).alias("h"))
+
+
+def _gated(e: DataFrame, z: DataFrame) -> DataFrame:
+    return e.select("vid", F.col("h").alias("g")).join(z.select("vid", F.col("h").alias("z")), "vid").select("vid", V.relu_gate(F.col("g"), F.col("z")).alias("h"))
+
+
+def gradients(g: PreparedGraph, weights: list[Matrix], train: float = 0.2, grad: str = "full", cut: bool = True, kernel: str = "optimized", first: int = 0) -> list[DataFrame]:
+    """(tid, i, j, w) per layer from ``first`` on: each tile's own weight gradient, over its number of training rows.
 
     ``full`` propagates the error through every layer; ``optimized`` hands E W' down without the hop.
+    The kernels ``original`` and ``delayed`` know the full rule only. Layers below ``first`` are not built.
     """
-    keep = (lambda df, name: staged(df, name)) if cut else (lambda df, name: df)
+    if kernel != "optimized":
+        return _gradients_of_sums(g, weights, train, cut, kernel, first)
+    keep = _kept(cut)
     zs = [keep(z, f"gcn-z{k}") for k, z in enumerate(forward(g, weights))]
     hs = [features(g), *[z.select("vid", V.relu(F.col("h")).alias("h")) for z in zs[:-1]]]
-    sizes = metrics.reordered_index(g).groupBy("tid").agg(F.first(F.floor(F.col("n") * float(train))).alias("train_n"))
+    sizes = _train_sizes(g, train)
     error = keep(metrics.masked_error(zs[-1].select("vid", V.softmax(F.col("h")).alias("p")), g, train), "gcn-error").select("vid", "h")
     out: list[DataFrame] = []
-    for k in range(len(weights) - 1, -1, -1):
+    for k in range(len(weights) - 1, first - 1, -1):
         v = keep(propagate(g, error, len(weights[k][0])), f"gcn-v{k}")
         pair = hs[k].select("vid", F.col("h").alias("a")).join(v.select("vid", F.col("h").alias("b")), "vid").join(g.parts, "vid")
-        d = V.outer_sums(pair, "tid", "a", "b").join(sizes, "tid")
-        out.append(d.select("tid", "i", "j", F.when(F.col("train_n") > 0, F.col("w") / F.col("train_n")).otherwise(F.lit(0.0)).alias("w")))
-        if k:
-            down = v if grad == "full" else error
-            back = [list(c) for c in zip(*weights[k])]
-            up = down.select("vid", V.times_matrix(F.col("h"), back).alias("g")).join(zs[k - 1].select("vid", F.col("h").alias("z")), "vid")
-            error = up.select("vid", V.relu_gate(F.col("g"), F.col("z")).alias("h"))
+        out.append(_per_row(V.outer_sums(pair, "tid", "a", "b"), sizes))
+        if k > first:
+            error = _gated(_back_through(v if grad == "full" else error, weights[k]), zs[k - 1])
+    return out[::-1]
+
+
+def _gradients_of_sums(g: PreparedGraph, weights: list[Matrix], train: float, cut: bool, kernel: str, first: int) -> list[DataFrame]:
+    """Gradients of the kernels that propagate before they multiply.
+
+    The sums a layer multiplies are kept, so its gradient is their product with the error, without a hop; what
+    goes down is E W', sent along the edges as wide as the layer's input and gated by the layer below.
+    ``delayed`` scales around the sum. ``original`` scales each edge, the own row going forward only, on features
+    scaled once at load: where its forward rule is not symmetric, this is its own rule, not the derivative.
+    """
+    if kernel not in ("original", "delayed"):
+        raise ValueError(f"unknown kernel {kernel!r}")
+    keep, original = _kept(cut), kernel == "original"
+    h = features(g)
+    if original:
+        h = h.join(g.scale, "vid").select("vid", V.scaled(F.col("h"), F.col("s")).alias("h"))
+    sums, zs = [], []
+    for k, w in enumerate(weights):
+        sums.append(keep(propagate_per_edge(g, h, len(w)) if original else propagate(g, h, len(w)), f"gcn-a{k}"))
+        zs.append(sums[-1].select("vid", V.times_matrix(F.col("h"), w).alias("h")))
+        h = zs[-1].select("vid", V.relu(F.col("h")).alias("h"))
+    sizes = _train_sizes(g, train)
+    error = keep(metrics.masked_error(zs[-1].select("vid", V.softmax(F.col("h")).alias("p")), g, train), "gcn-error").select("vid", "h")
+    out: list[DataFrame] = []
+    for k in range(len(weights) - 1, first - 1, -1):
+        pair = sums[k].select("vid", F.col("h").alias("a")).join(error.select("vid", F.col("h").alias("b")), "vid").join(g.parts, "vid")
+        out.append(_per_row(V.outer_sums(pair, "tid", "a", "b"), sizes))
+        if k > first:
+            down = _back_through(error, weights[k])
+            hop = propagate_per_edge(g, down, len(weights[k]), forward=False) if original else propagate(g, down, len(weights[k]))
+            error = keep(_gated(hop, zs[k - 1]), f"gcn-e{k - 1}")
     return out[::-1]
 
 
@@ -124,13 +176,13 @@ def weight_frame(spark, w: Matrix) -> DataFrame:
     return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(w) for j, x in enumerate(row)], "i long, j long, w double")
 
 
-def train(g: PreparedGraph, config: GcnConfig, epochs: int, grad: str = "full", weights: list[Matrix] | None = None) -> list[Matrix]:
+def train(g: PreparedGraph, config: GcnConfig, epochs: int, grad: str = "full", weights: list[Matrix] | None = None, kernel: str = "optimized") -> list[Matrix]:
     """Weights after ``epochs`` epochs of per-tile steps and averaging. Only weights, as large as the model, reach the driver."""
     spark = g.vertices.sparkSession
     weights = weights or config.weights()
     for _ in range(epochs):
         new = []
-        for w, d in zip(weights, gradients(g, weights, config.train_ratio, grad)):
+        for w, d in zip(weights, gradients(g, weights, config.train_ratio, grad, kernel=kernel)):
             mean = average_weights(sgd_step(weight_frame(spark, w), d, config.learning_rate))
             m = [[0.0] * len(w[0]) for _ in w]
             for r in mean.collect():

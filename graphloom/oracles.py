@@ -59,6 +59,25 @@ def grad0(mode: str) -> str:
     return ",\n".join([product("v1" if mode == "full" else "er", "w1", "g1", back=True), "gz AS (SELECT g1.vid, g1.k, CASE WHEN z0.x > 0 THEN g1.x ELSE 0 END AS x FROM g1 JOIN z0 ON z0.vid = g1.vid AND z0.k = g1.k)", propagated("gz", "v0"), outer("x", "v0", "d0")])
 
 
+def gated(src: str, z: str, out: str) -> str:
+    return f"{out} AS (SELECT a.vid, a.k, CASE WHEN z.x > 0 THEN a.x ELSE 0 END AS x FROM {src} a JOIN {z} z ON z.vid = a.vid AND z.k = a.k)"
+
+
+def per_edge(src: str, out: str, forward: bool = True) -> str:
+    own = "i.x * sc.s" if forward else "i.x"
+    return f"{out} AS (SELECT vid, k, sum(x) AS x FROM (SELECT i.vid, i.k, {own} AS x FROM {src} i JOIN sc ON sc.vid = i.vid UNION ALL SELECT e.dst, i.k, i.x * s0.s * s1.s FROM e JOIN {src} i ON i.vid = e.src JOIN sc s0 ON s0.vid = e.src JOIN sc s1 ON s1.vid = e.dst) GROUP BY vid, k)"
+
+
+#: The kernels that propagate before they multiply: sums a0 and a1, products y0 and y1.
+ORIGINAL = ",\n".join(["i0 AS (SELECT vid, k, x * s AS x FROM x JOIN sc USING (vid))", per_edge("i0", "a0"), product("a0", "w0", "y0"), rectified("y0", "g1_"), per_edge("g1_", "a1"), product("a1", "w1", "y1")])
+DELAYED = ",\n".join([propagated("x", "a0"), product("a0", "w0", "y0"), rectified("y0", "g1_"), propagated("g1_", "a1"), product("a1", "w1", "y1")])
+SUMS1 = ",\n".join([soft("y1", "p"), ERROR, outer("a1", "er", "d1")])
+
+
+def sums0(hop: str) -> str:
+    return ",\n".join([product("er", "w1", "down", back=True), hop, gated("hop", "y0", "gz"), outer("a0", "gz", "d0")])
+
+
 def sql(*parts: str) -> str:
     return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
 
@@ -153,9 +172,7 @@ b AS (SELECT src % {TILES} AS tid, count(*) AS edges, count_if(src % {TILES} <>
     "glorot_weights": sql(W, f"SELECT i, j, {r6('w')} FROM w0"),
     "gcn_forward": sql(GRAPH, W, FORWARD, long("z1")),
     "gcn_forward_delayed": sql(GRAPH, W, FORWARD, long("z1")),
-    "gcn_forward_original": sql(GRAPH, W, "i0 AS (SELECT vid, k, x * s AS x FROM x JOIN sc USING (vid))", *[y for k, (a, b) in enumerate((("i0", "a0"), ("g1_", "a1"))) for y in (
-        f"{b} AS (SELECT vid, k, sum(x) AS x FROM (SELECT i.vid, i.k, i.x * sc.s AS x FROM {a} i JOIN sc ON sc.vid = i.vid UNION ALL SELECT e.dst, i.k, i.x * s0.s * s1.s FROM e JOIN {a} i ON i.vid = e.src JOIN sc s0 ON s0.vid = e.src JOIN sc s1 ON s1.vid = e.dst) GROUP BY vid, k)",
-        product(b, f"w{k}", f"y{k}"), rectified(f"y{k}", f"g{k + 1}_"))], long("y1")),
+    "gcn_forward_original": sql(GRAPH, W, ORIGINAL, long("y1")),
     "gcn_inference": sql(GRAPH, W, FORWARD, long("p")),
     "p_minus_y_masked": sql(GRAPH, W, FORWARD, ERROR, long("er")),
     "cross_entropy": sql(GRAPH, W, FORWARD, f"SELECT v.tid, {r6('avg(-ln(CASE WHEN p.x = 0 THEN 0.001 ELSE p.x END))', 'loss')} FROM p JOIN v ON v.vid = p.vid AND v.label = p.k GROUP BY v.tid"),
@@ -164,6 +181,10 @@ b AS (SELECT src % {TILES} AS tid, count(*) AS edges, count_if(src % {TILES} <>
     "grad_w1": sql(GRAPH, W, FORWARD, GRAD1, f"SELECT tid, i, j, {r6('w')} FROM d1"),
     "grad_w0_full": sql(GRAPH, W, FORWARD, GRAD1, grad0("full"), f"SELECT tid, i, j, {r6('w')} FROM d0"),
     "grad_w0_optimized": sql(GRAPH, W, FORWARD, GRAD1, grad0("optimized"), f"SELECT tid, i, j, {r6('w')} FROM d0"),
+    "grad_w1_original": sql(GRAPH, W, ORIGINAL, SUMS1, f"SELECT tid, i, j, {r6('w')} FROM d1"),
+    "grad_w0_original": sql(GRAPH, W, ORIGINAL, SUMS1, sums0(per_edge("down", "hop", forward=False)), f"SELECT tid, i, j, {r6('w')} FROM d0"),
+    "grad_w1_delayed": sql(GRAPH, W, DELAYED, SUMS1, f"SELECT tid, i, j, {r6('w')} FROM d1"),
+    "grad_w0_delayed": sql(GRAPH, W, DELAYED, SUMS1, sums0(propagated("down", "hop")), f"SELECT tid, i, j, {r6('w')} FROM d0"),
     "sgd_step": sql(GRAPH, W, FORWARD, GRAD1, f"SELECT tid, i, j, {r6('w1.w - 0.5::DOUBLE * d1.w', 'w')} FROM d1 JOIN w1 USING (i, j)"),
     "weight_average": sql(GRAPH, W, FORWARD, GRAD1, f"SELECT i, j, {r6('avg(w1.w - 0.5::DOUBLE * d1.w)', 'w')} FROM d1 JOIN w1 USING (i, j) GROUP BY i, j"),
     "fixed_point_encode": sql(GRAPH, ENC, "SELECT vid, k, code FROM enc"),

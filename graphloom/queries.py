@@ -341,9 +341,9 @@ def accuracy_by_split(spark, d):
     return metrics.accuracy_by_split(gcn.predict(g, CONFIG.weights()), g).select("tid", "metric", r6("value"))
 
 
-def _gradient(spark, d, k, mode):
+def _gradient(spark, d, k, mode, kernel="optimized"):
     g = from_tables(spark, d).cache()
-    return gcn.gradients(g, CONFIG.weights(), CONFIG.train_ratio, mode)[k].select("tid", "i", "j", r6("w"))
+    return gcn.gradients(g, CONFIG.weights(), CONFIG.train_ratio, mode, kernel=kernel, first=k)[0].select("tid", "i", "j", r6("w"))
 
 
 @query
@@ -361,18 +361,38 @@ def grad_w0_optimized(spark, d):
     return _gradient(spark, d, 0, "optimized")
 
 
+@query
+def grad_w1_original(spark, d):
+    return _gradient(spark, d, 1, "full", "original")
+
+
+@query
+def grad_w0_original(spark, d):
+    return _gradient(spark, d, 0, "full", "original")
+
+
+@query
+def grad_w1_delayed(spark, d):
+    return _gradient(spark, d, 1, "full", "delayed")
+
+
+@query
+def grad_w0_delayed(spark, d):
+    return _gradient(spark, d, 0, "full", "delayed")
+
+
 @query
 def sgd_step(spark, d):
     g = from_tables(spark, d).cache()
     w = CONFIG.weights()
-    return gcn.sgd_step(gcn.weight_frame(spark, w[1]), gcn.gradients(g, w, CONFIG.train_ratio)[1], CONFIG.learning_rate).select("tid", "i", "j", r6("w"))
+    return gcn.sgd_step(gcn.weight_frame(spark, w[1]), gcn.gradients(g, w, CONFIG.train_ratio, first=1)[0], CONFIG.learning_rate).select("tid", "i", "j", r6("w"))
 
 
 @query
 def weight_average(spark, d):
     g = from_tables(spark, d).cache()
     w = CONFIG.weights()
-    return gcn.average_weights(gcn.sgd_step(gcn.weight_frame(spark, w[1]), gcn.gradients(g, w, CONFIG.train_ratio)[1], CONFIG.learning_rate)).select("i", "j", r6("w"))
+    return gcn.average_weights(gcn.sgd_step(gcn.weight_frame(spark, w[1]), gcn.gradients(g, w, CONFIG.train_ratio, first=1)[0], CONFIG.learning_rate)).select("i", "j", r6("w"))
 
 
 @query

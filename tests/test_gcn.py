@@ -78,6 +78,29 @@ def test_full_gradient_is_the_derivative(toy):
             assert d[i, j] == pytest.approx((loss(*up, 0) - loss(*down, 0)) / 2e-5, abs=1e-6)
 
 
+@pytest.mark.parametrize("kernel", ["original", "delayed"])
+def test_gradients_of_sums_equal_numpy(toy, kernel):
+    g, x, a, y = toy
+    w0, w1 = map(np.array, weights())
+    s = 1 / np.sqrt(a.sum(0) + 1)
+    between = s[:, None] * a * s[None, :]
+    ahead, back = (between + np.diag(s), between + np.eye(N)) if kernel == "original" else (plain(x, a, w0, w1)[0],) * 2
+    a0 = ahead @ (s[:, None] * x if kernel == "original" else x)
+    z0 = a0 @ w0
+    a1 = ahead @ np.maximum(z0, 0)
+    p = np.exp(a1 @ w1)
+    error = p / p.sum(1, keepdims=True) - np.eye(C)[y]
+    for t in range(T):
+        off = np.ones(N, bool)
+        off[np.arange(t, N, T)[: int(N / T * 0.5)]] = False
+        error[off & (np.arange(N) % T == t)] = 0
+    down = (back @ (error @ w1.T)) * (z0 > 0)
+    for k, (left, right) in enumerate(((a0, down), (a1, error))):
+        for r in gcn.gradients(g, weights(), 0.5, kernel=kernel, first=k)[0].collect():
+            own = np.arange(N) % T == r["tid"]
+            assert r["w"] == pytest.approx((left[own].T @ right[own])[r["i"], r["j"]] / int(N / T * 0.5), abs=1e-9)
+
+
 def test_training_lowers_the_loss(toy):
     g, *_ = toy
     config = gcn.GcnConfig(input_dim=D, hidden_dim=H, num_labels=C, learning_rate=0.3, train_ratio=0.5)
