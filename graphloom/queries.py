@@ -397,7 +397,7 @@ def weight_average(spark, d):
 
 @query
 def gcn_train_epochs(spark, d):
-    """Loss per tile after two epochs; a multi-epoch program has no SQL twin and is tested in numpy."""
+    """Loss per tile after two epochs; a multi-epoch program has no SQL twin; tests assert that training lowers the loss."""
     g = from_tables(spark, d).cache()
     w = gcn.train(g, CONFIG, 2)
     return metrics.cross_entropy(gcn.predict(g, w), g).select("tid", r6("loss"))
