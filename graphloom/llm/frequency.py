@@ -74,6 +74,8 @@ def class_table(texts: DataFrame, hashes: Callable[[list[str | None]], np.ndarra
     counted = texts.mapInArrow(releasing(blobs), "bucket long, blob binary").groupBy("bucket").applyInArrow(count, "bucket long, table binary")
     whole = bytearray(1 << (bits - 2))
     width = len(whole) >> split
-    for r in counted.toLocalIterator():
-        whole[r["bucket"] * width : (r["bucket"] + 1) * width] = r["table"]
+    # at most 2**28 / 4 bytes in one job; an iterator over partitions would run one job for each
+    found = counted.toArrow()
+    for bucket, part in zip(found.column("bucket").to_pylist(), found.column("table")):
+        whole[bucket * width : (bucket + 1) * width] = part.as_py()
     return bytes(whole), bits
