@@ -43,6 +43,8 @@ MOST_SMALL = 16
 PAIR_ROWS, SUBSET_ROWS = 3, 2
 #: Inverted lists with more sets than this are heavy.
 HEAVY = 48
+#: A set that more than one in so many rows hold is common; there are fewer of them than this.
+COMMON = 1000
 #: Shingles, and sets, of a block of a heavy list: a pair of blocks takes 50 MB, whatever the sets.
 BLOCK_SHINGLES, BLOCK_SETS = 500_000, 1000
 
@@ -247,12 +249,12 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     small_batches(spark)
     sums = staged(_summaries(docs, key, text), "jaccard-sets")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    same = sums.where("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
+    total, rows = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    same = sums.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     table, bits = class_table(docs.select(F.col(text)), lambda texts: shingle_sets(texts)[1], total)
     posts = staged(_posts(docs, key, text, table, bits), "jaccard-posts")
     # an id may hold several texts, so a set goes on under a hash of its own
-    first = posts.join(same.select(F.col("rep").alias("doc"), "n", "h1", "h2"), ["doc", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc", "n", "h1", "h2"])
+    first = posts.join(same.where("rep is not null").select(F.col("rep").alias("doc"), "n", "h1", "h2"), ["doc", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc", "n", "h1", "h2"])
     sets = staged(first.select(F.col("h1").alias("doc"), "n", "toks", "poss", "shingles"), "jaccard-reps")
     flat = sets.select("doc", "n", F.explode(F.arrays_zip("toks", "poss")).alias("p")).select("doc", "n", F.col("p.toks").alias("tok"), F.col("p.poss").alias("pos"))
     counts = flat.groupBy("tok").agg(F.count("*").alias("entries"), F.sum("n").alias("shingles_of")).where("entries > 1")
@@ -269,8 +271,11 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     linked = staged(same.join(found, same["h1"] == found["vid"]).select("n", "h1", "h2", "rep", "component"), "jaccard-linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     ends = linked.join(least, "component").select("n", "h1", "h2", "component_id")
-    reps = same.join(ends, ["n", "h1", "h2"], "left").select("n", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
-    # rows without a set have nothing to meet; a hot set's rows split over tasks, as its rep is one row (skew join)
-    out = sums.where("n > 0").join(reps, ["n", "h1", "h2"], "left").select("doc", "n", "component_id")
+    reps = staged(same.join(ends, ["n", "h1", "h2"], "left").select("n", "h1", "h2", "copies", F.coalesce("component_id", "rep").alias("component_id")), "jaccard-ends")
+    # rows without a set have nothing to meet; the fewer than COMMON sets that most rows share go to the rows, so no task gets a group of copies
+    names, often = ["n", "h1", "h2"], F.col("copies") * COMMON > rows
+    common, having = F.broadcast(reps.where(often).drop("copies")), sums.where("n > 0")
+    out = having.join(common, names).select("doc", "n", "component_id")
+    out = out.union(having.join(common, names, "left_anti").join(reps.where(~often), names).select("doc", "n", "component_id"))
     out = out.union(sums.where("n = 0").select("doc", "n", F.lit(None).cast("long")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")).distinct()
