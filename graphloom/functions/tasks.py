@@ -45,6 +45,11 @@ def reveal(share0: Column, share1: Column, bits: int = FRACTION_BITS) -> Column:
     return reconstruct(share0, share1, bits)
 
 
+def reveal_pair(a: Column, b: Column, bits: int = FRACTION_BITS) -> Column:
+    """Structs of two shares each, revealed part by part."""
+    return F.struct(reveal(a["first"], b["first"], bits).alias("first"), reveal(a["second"], b["second"], bits).alias("second"))
+
+
 def vector_scale(v: Column, s0: Column, s1: Column) -> Column:
     return V.scaled(V.scaled(v, s0), s1)
 

@@ -6,6 +6,7 @@ the edges) and factors edge scales into vertex scales; Catalyst does the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -176,11 +177,16 @@ def weight_frame(spark, w: Matrix) -> DataFrame:
     return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(w) for j, x in enumerate(row)], "i long, j long, w double")
 
 
-def train(g: PreparedGraph, config: GcnConfig, epochs: int, grad: str = "full", weights: list[Matrix] | None = None, kernel: str = "optimized") -> list[Matrix]:
-    """Weights after ``epochs`` epochs of per-tile steps and averaging. Only weights, as large as the model, reach the driver."""
+def train(g: PreparedGraph, config: GcnConfig, epochs: int, grad: str = "full", weights: list[Matrix] | None = None, kernel: str = "optimized", watch: Callable[[int, list[Matrix]], None] | None = None) -> list[Matrix]:
+    """Weights after ``epochs`` epochs of per-tile steps and averaging. Only weights, as large as the model, reach the driver.
+
+    ``watch`` sees the number of epochs done and the weights then, first before any.
+    """
     spark = g.vertices.sparkSession
     weights = weights or config.weights()
-    for _ in range(epochs):
+    if watch is not None:
+        watch(0, weights)
+    for done in range(1, epochs + 1):
         new = []
         for w, d in zip(weights, gradients(g, weights, config.train_ratio, grad, kernel=kernel)):
             mean = average_weights(sgd_step(weight_frame(spark, w), d, config.learning_rate))
@@ -189,9 +195,22 @@ def train(g: PreparedGraph, config: GcnConfig, epochs: int, grad: str = "full",
                 m[r["i"]][r["j"]] = r["w"]
             new.append(m)
         weights = new
+        if watch is not None:
+            watch(done, weights)
     return weights
 
 
+def train_log(g: PreparedGraph, config: GcnConfig, epochs: int, path: str, grad: str = "full", kernel: str = "optimized") -> list[Matrix]:
+    """Trains, and appends (epoch, tid, metric, value) to the Parquet table ``path`` before the first and after each epoch."""
+
+    def note(done: int, weights: list[Matrix]) -> None:
+        p = predict(g, weights, kernel)
+        rows = metrics.accuracy_by_split(p, g, config.train_ratio, config.val_ratio).union(metrics.cross_entropy(p, g).select("tid", F.lit("cross_entropy").alias("metric"), F.col("loss").alias("value")))
+        rows.select(F.lit(done).cast("long").alias("epoch"), "tid", "metric", "value").write.mode("append").parquet(path)
+
+    return train(g, config, epochs, grad, kernel=kernel, watch=note)
+
+
 #: What each iteration of an epoch does, by kernel: whether messages pass, and the width they have.
 def schedule(config: GcnConfig, kernel: str = "optimized") -> list[tuple[str, bool, int]]:
     hidden, labels = config.hidden_dim, config.num_labels

@@ -59,6 +59,13 @@ def bumped_degrees(g: PreparedGraph) -> DataFrame:
     return g.in_degree.join(inside, "vid", "left").select("vid", (F.col("in_degree") + F.when(F.col("has").isNull(), 1).otherwise(0)).alias("in_degree"))
 
 
+def with_bumped_degrees(g: PreparedGraph) -> PreparedGraph:
+    """The graph with ``bumped_degrees`` in place of its in-degrees, so that every scale derived of them follows."""
+    out = PreparedGraph(g.vertices, g.edges, g.tiles)
+    out.in_degree = bumped_degrees(g)
+    return out
+
+
 @dataclass(frozen=True)
 class VertexProgram:
     """A scalar program: a message per edge, an aggregate per destination, and the new state.
@@ -89,3 +96,37 @@ def run_rounds(g: PreparedGraph, state: DataFrame, program: VertexProgram, round
             return nxt
         state = nxt
     return state
+
+
+@dataclass(frozen=True)
+class VectorProgram:
+    """The stages of a round over array-valued vertices; each is an expression.
+
+    ``pre_scatter`` sees the vertex's h and in_degree; ``scatter`` what was made of it, as h, and the
+    edge; messages add up component by component, with ``pre_merge`` in each sending tile first;
+    ``gather`` sees the vertex's h and ``msg`` (null where nothing came); ``apply`` the gathered h and in_degree.
+    """
+
+    pre_scatter: Callable[[], Column] = lambda: F.col("h")
+    scatter: Callable[[], Column] = lambda: F.col("h")
+    gather: Callable[[], Column] = lambda: V.added_where(F.col("h"), F.col("msg"), F.col("msg").isNotNull())
+    apply: Callable[[], Column] = lambda: F.col("h")
+    pre_merge: bool = False
+
+
+def run_vector_rounds(g: PreparedGraph, h: DataFrame, width: int, program: VectorProgram, rounds: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(vid, h) after ``rounds`` rounds of a program over (vid, h) of ``width`` components."""
+    edges = g.tiled_edges if program.pre_merge else g.edges
+    for _ in range(rounds):
+        own = h.join(g.in_degree, "vid")
+        out = own.select(F.col("vid").alias("src"), program.pre_scatter().alias("h"))
+        tile = [F.col("src_tid").alias("tid")] if program.pre_merge else []
+        sent = edges.join(out, "src").select(F.col("dst").alias("vid"), *tile, program.scatter().alias("h"))
+        if program.pre_merge:
+            sent = V.sum_vectors(sent, ["tid", "vid"], "h", width)
+        got = V.sum_vectors(sent, ["vid"], "h", width).select("vid", F.col("h").alias("msg"))
+        met = own.join(got, "vid", "left").select("vid", "in_degree", program.gather().alias("h"))
+        h = met.select("vid", program.apply().alias("h"))
+        if cut is not None:
+            h = cut(h)
+    return h

@@ -43,6 +43,11 @@ def prefix_subset(g: PreparedGraph, parts: int, upto: int) -> PreparedGraph:
     return PreparedGraph(vertices, inside(g.edges, member), upto + 1)
 
 
+def dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``df`` with ``part``, the key's remainder by ``parts``, and its rows dealt by it."""
+    return df.withColumn("part", F.pmod(key, F.lit(parts)).cast("long")).repartition(parts, "part")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """The bag with every edge's reverse."""
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]))

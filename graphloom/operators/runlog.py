@@ -40,6 +40,20 @@ def party_accuracy(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").agg(F.count("*").alias("runs"), F.avg("test_acc").alias("test_acc"), F.avg("border_acc").alias("border_acc"))
 
 
+def epoch_accuracy(lines: DataFrame) -> DataFrame:
+    """(epoch, lines, test_acc, best): the mean over the parties of each epoch, and the best mean up to it."""
+    number = lambda pattern: F.regexp_extract("value", pattern, 1)
+    rows = lines.select(number(r"Epoch: (\d+)").alias("epoch"), number(r"Test accuracy: ([0-9.]+)%").alias("test_acc")).where("epoch <> '' and test_acc <> ''")
+    means = rows.groupBy(F.col("epoch").cast("long").alias("epoch")).agg(F.count("*").alias("lines"), F.avg(F.col("test_acc").cast("double")).alias("test_acc"))
+    return means.withColumn("best", F.max("test_acc").over(Window.partitionBy(F.lit(0)).orderBy("epoch")))  # one row for each epoch
+
+
+def first_matches(lines: DataFrame, pattern: str, n: int) -> DataFrame:
+    """(party, place, seq, value): the first ``n`` lines of each party that match. ``lines`` has party, seq, value."""
+    place = F.row_number().over(Window.partitionBy("party").orderBy("seq")).cast("long")
+    return lines.where(F.col("value").rlike(pattern)).withColumn("place", place).where(F.col("place") <= n).select("party", "place", "seq", "value")
+
+
 def parse_traffic(lines: DataFrame) -> DataFrame:
     """(iface, download_mb, upload_mb) of the virtual interfaces in a traffic table, largest download first."""
     parts = F.split(F.trim("value"), r"\s+")

@@ -125,6 +125,14 @@ def _signed(a: str) -> str:
     return f"CASE WHEN {a} >= 9223372036854775808::HUGEINT THEN {a} - {RING} ELSE {a} END"
 
 
+def _halved(src: str, out: str) -> str:
+    """A round of messages 2 * (h / 2) and the mean with the own vector."""
+    return f"{out} AS (SELECT a.vid, a.k, (a.x + coalesce(b.x, 0)) / (in_degree + 1) AS x FROM {src} a JOIN ind USING (vid) LEFT JOIN (SELECT dst AS vid, k, sum(i.x) AS x FROM e JOIN {src} i ON i.vid = e.src GROUP BY dst, k) b USING (vid, k))"
+
+
+TRAFFIC = "tr AS (SELECT 'veth' || (user_id % 16) AS iface, printf('%.2f', sum(event_id * 1000)::DOUBLE / 1048576)::DOUBLE AS download_mb, printf('%.2f', sum(user_id * 1000)::DOUBLE / 1048576)::DOUBLE AS upload_mb FROM events GROUP BY user_id % 16)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "degree_in": sql(GRAPH, "SELECT vid, in_degree FROM ind"),
     "degree_out": sql(GRAPH, "SELECT v.vid, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.vid GROUP BY v.vid"),
@@ -212,4 +220,14 @@ b AS (SELECT src % {TILES} AS tid, count(*) AS edges, count_if(src % {TILES} <>
     "log_parse": sql(RUNS, f"SELECT party, iter * 2 AS seq, tag, {r6('floor(seconds * 1000)::BIGINT / 1000', 'seconds')} FROM runs"),
     "traffic_text": "SELECT event_id, printf('%.2fMB', event_id::DOUBLE * 12345 / 1048576) AS label FROM events",
     "epoch_schedule": "SELECT * FROM (VALUES ('optimized', 0::BIGINT, 'forward', true, 16::BIGINT), ('optimized', 1, 'forward', true, 10), ('optimized', 2, 'error', false, 0), ('optimized', 3, 'backward', true, 10), ('optimized', 4, 'gate', false, 0), ('optimized', 5, 'backward', true, 16), ('original', 0, 'forward', true, 64), ('original', 1, 'forward', true, 16), ('original', 2, 'error', false, 0), ('original', 3, 'backward', true, 16)) t(kernel, iter, step, messages, width)",
+    "engine_programs": sql(GRAPH, "outd AS (SELECT v.vid, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.vid GROUP BY v.vid)", "u AS (SELECT 'in' AS program, vid, in_degree AS value FROM ind UNION ALL SELECT 'out', vid, out_degree FROM outd UNION ALL SELECT 'border', vid, is_border::BIGINT FROM brd)", f"SELECT * FROM u WHERE vid % {TILES} <> 1"),
+    "prepared_resume": sql(GRAPH, "outd AS (SELECT v.vid, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.vid GROUP BY v.vid)", f"mir AS (SELECT dst AS vid, count(DISTINCT src % {TILES}) AS mirrors FROM e WHERE src % {TILES} <> dst % {TILES} GROUP BY dst)", "SELECT vid, in_degree, out_degree, is_border, coalesce(mirrors, 0) AS mirrors FROM ind JOIN outd USING (vid) JOIN brd USING (vid) LEFT JOIN mir USING (vid)"),
+    "edges_dealt": sql(GRAPH, "SELECT src % 4 AS part, count(*) AS edges, count(DISTINCT src) AS sources FROM e GROUP BY 1"),
+    "degree_bump_propagate": sql(GRAPH.replace("sc AS (SELECT vid, pow(in_degree + 1, -0.5) AS s FROM ind)", f"sc AS (SELECT vid, pow(in_degree + 1 + CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.dst = ind.vid AND e.src % {TILES} = e.dst % {TILES}) THEN 0 ELSE 1 END, -0.5) AS s FROM ind)"), propagated("x", "z"), long("z")),
+    "vector_program": sql(GRAPH, _halved("x", "h1"), _halved("h1", "h2"), long("h2")),
+    "pair_reveal": sql("f AS (SELECT vec_id AS vid, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)", f"SELECT vid, {r6('trunc(a * 65536) / 65536', 'first')}, {r6('trunc(b * 65536) / 65536', 'second')} FROM f"),
+    "accuracy_per_epoch": sql("t AS (SELECT event_id % 20 AS epoch, count(*) AS lines, avg((user_id % 100)::DOUBLE + 0.5) AS test_acc FROM events GROUP BY 1)", f"SELECT epoch, lines, {r6('test_acc')}, {r6('max(test_acc) OVER (ORDER BY epoch)', 'best')} FROM t"),
+    "log_first_matches": sql(RUNS, "t AS (SELECT party, row_number() OVER (PARTITION BY party ORDER BY iter) AS place, iter AS seq, '::' || tag || ' took' AS value FROM runs WHERE regexp_matches(tag, '^[a-z_]*c'))", "SELECT * FROM t WHERE place <= 5"),
+    "traffic_table": sql(TRAFFIC, "SELECT * FROM tr"),
+    "traffic_by_party": sql(TRAFFIC, f"SELECT {r6('sum(download_mb + upload_mb) / 16 / 3 / 1024', 'gb')} FROM tr"),
 }

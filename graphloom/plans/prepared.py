@@ -82,10 +82,28 @@ class PreparedGraph:
         return self
 
     def cache(self) -> PreparedGraph:
-        """Keeps edges dealt by source and vertices, for programs of many rounds."""
+        """Keeps vertices and edges, for programs of many rounds."""
         self.vertices, self.edges = self.vertices.cache(), self.edges.cache()
         return self
 
+    def save(self, path: str) -> None:
+        """Writes the preparation, with what was derived of it, for runs that resume from it."""
+        whole = self.vertices.join(self.in_degree, "vid").join(self.out_degree, "vid").join(self.border, "vid")
+        whole.withColumn("tiles", F.lit(self.tiles)).write.parquet(f"{path}/vertices")
+        self.edges.write.parquet(f"{path}/edges")
+        self.mirrors.write.parquet(f"{path}/mirrors")
+
+
+def load(spark: SparkSession, path: str) -> PreparedGraph:
+    """The graph that ``save`` wrote: degrees, border and mirrors are read, not computed again."""
+    whole = spark.read.parquet(f"{path}/vertices")
+    first = whole.select("tiles").first()
+    derived = ("in_degree", "out_degree", "is_border", "tiles")
+    g = PreparedGraph(whole.drop(*derived), spark.read.parquet(f"{path}/edges"), first["tiles"] if first else 1)
+    g.in_degree, g.out_degree, g.border = (whole.select("vid", c) for c in derived[:3])
+    g.mirrors = spark.read.parquet(f"{path}/mirrors")
+    return g
+
 
 def from_tables(spark: SparkSession, sf_dir: str, tiles: int = 3) -> PreparedGraph:
     """The canonical graph of the driver's tables: embeddings as vertices, customers and parts of large line items as symmetric edges."""

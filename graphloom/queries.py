@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,10 @@ from graphloom.functions import scalars as S
 from graphloom.functions import tasks
 from graphloom.operators import gcn, messages, metrics, prep, programs, runlog, shares
 from graphloom.operators import vectors as V
-from graphloom.plans.prepared import PreparedGraph, base_edges, from_tables
+from graphloom.plans.engine import Engine
+from graphloom.plans.prepared import PreparedGraph, base_edges, from_tables, load
+from graphloom.plans.staging import shared_dir, staged
+from graphloom.sources import textio
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -614,3 +618,100 @@ def accuracy_log(spark, d):
 def traffic_text(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", S.megabytes(F.col("event_id").cast("double") * 12345).alias("label"))
+
+
+# --- engine, resume, hooks
+
+
+@query
+def engine_programs(spark, d):
+    """Three programs one after the other on one engine, for two of its tiles."""
+    runs = Engine(from_tables(spark, d), tiles=[0, 2])
+    runs.add("in", lambda g: g.in_degree.select("vid", F.col("in_degree").alias("value")))
+    runs.add("out", lambda g: g.out_degree.select("vid", F.col("out_degree").alias("value")))
+    runs.add("border", lambda g: g.border.select("vid", F.col("is_border").cast("long").alias("value")))
+    found = [df.select(F.lit(name).alias("program"), "vid", "value") for name, df in runs.run().items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query
+def prepared_resume(spark, d):
+    """Degrees, border and mirrors of a preparation that was written and read back."""
+    path = f"{shared_dir(spark)}/prepared-{uuid.uuid4().hex}"
+    from_tables(spark, d).save(path)
+    g = load(spark, path)
+    near = g.mirrors.groupBy("vid").agg(F.count("*").alias("mirrors"))
+    return g.in_degree.join(g.out_degree, "vid").join(g.border, "vid").join(near, "vid", "left").select("vid", "in_degree", "out_degree", "is_border", F.coalesce("mirrors", F.lit(0)).cast("long").alias("mirrors"))
+
+
+@query
+def edges_dealt(spark, d):
+    """Edges dealt by their source's remainder, and what each part holds."""
+    parts = prep.dealt(from_tables(spark, d).edges, "src", 4)
+    return parts.groupBy("part").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
+
+
+@query
+def degree_bump_propagate(spark, d):
+    """Propagation with one more for vertices without an in-edge from their own tile, as an option of the graph."""
+    g = messages.with_bumped_degrees(from_tables(spark, d))
+    return V.long_form(messages.propagate(g, gcn.features(g), CONFIG.input_dim), "h", ["vid"])
+
+
+@query
+def vector_program(spark, d):
+    """Two rounds of a program of hooks: half of the vector goes out, summed per sending tile first, and the mean stays."""
+    g = from_tables(spark, d)
+    half = messages.VectorProgram(
+        pre_scatter=lambda: V.scaled(F.col("h"), F.lit(0.5)), scatter=lambda: V.scaled(F.col("h"), F.col("weight").cast("double")),
+        apply=lambda: V.scaled(F.col("h"), F.lit(1.0) / (F.col("in_degree") + 1)), pre_merge=True,
+    )
+    found = messages.run_vector_rounds(_of_weight_two(g), gcn.features(g), CONFIG.input_dim, half, 2, cut=lambda h: staged(h, "vector-program"))
+    return V.long_form(found, "h", ["vid"])
+
+
+def _of_weight_two(g: PreparedGraph) -> PreparedGraph:
+    return PreparedGraph(g.vertices, g.edges.withColumn("weight", F.lit(2).cast("long")), g.tiles)
+
+
+@query
+def pair_reveal(spark, d):
+    """Pairs of the first two components, shared and revealed part by part."""
+    x = from_tables(spark, d).vertices.select("vid", F.col("feature")[0].alias("x"), F.col("feature")[1].alias("y"), F.lit(0).alias("k"), F.lit(1).alias("l"))
+    one = shares.split(x).withColumnsRenamed({"share0": "x0", "share1": "x1"})
+    two = shares.split(one, ("vid", "l"), "y")
+    pair = lambda a, b: F.struct(F.col(a).alias("first"), F.col(b).alias("second"))
+    return two.select("vid", tasks.reveal_pair(pair("x0", "share0"), pair("x1", "share1")).alias("p")).select("vid", F.col("p.first").alias("first"), F.col("p.second").alias("second")).select("vid", r6("first"), r6("second"))
+
+
+@query
+def accuracy_per_epoch(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = F.concat(F.lit("[Part: 1] Epoch: "), F.pmod("event_id", F.lit(20)).cast("string"), F.lit(", Test accuracy: "), F.pmod("user_id", F.lit(100)).cast("string"), F.lit(".5%"))
+    return runlog.epoch_accuracy(e.select(text.alias("value"))).select("epoch", "lines", r6("test_acc"), r6("best"))
+
+
+@query
+def log_first_matches(spark, d):
+    """The first five lines of each party that name a tag with a c."""
+    lines = _runs(spark, d).select("party", F.col("iter").alias("seq"), F.concat(F.lit("::"), "tag", F.lit(" took")).alias("value"))
+    return runlog.first_matches(lines, "^::[a-z_]*c", 5)
+
+
+def _traffic(spark, d) -> DataFrame:
+    """The traffic of the event table, written as a text table and read back."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.groupBy(F.pmod("user_id", F.lit(16)).alias("party")).agg(F.sum(F.col("event_id") * 1000).alias("down"), F.sum(F.col("user_id") * 1000).alias("up")).withColumn("iface", F.concat(F.lit("veth"), F.col("party").cast("string")))
+    path = f"{shared_dir(spark)}/traffic-{uuid.uuid4().hex}"
+    textio.write_traffic(rows, path)
+    return runlog.parse_traffic(spark.read.text(path))
+
+
+@query
+def traffic_table(spark, d):
+    return _traffic(spark, d)
+
+
+@query
+def traffic_by_party(spark, d):
+    return runlog.traffic_per_party(_traffic(spark, d), 16, 3).select(r6("gb"))

@@ -7,6 +7,7 @@ from dataclasses import fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import megabytes
 from graphloom.operators.gcn import GcnConfig
 from graphloom.operators.prep import implicit_vertices, undirected
 from graphloom.plans.prepared import GraphError, PreparedGraph
@@ -92,6 +93,12 @@ def write_result(values: DataFrame, path: str, value: str) -> None:
     values.select(F.concat_ws("\t", F.col("vid").cast("string"), F.col(value).cast("string")).alias("value")).write.text(path)
 
 
+def write_traffic(rows: DataFrame, path: str) -> None:
+    """Lines ``party interface download upload``, in MB with two decimals, the largest download first by its number. ``rows`` has party, iface and the bytes down and up."""
+    line = F.concat_ws(" ", F.col("party").cast("string"), "iface", megabytes(F.col("down").cast("double")), megabytes(F.col("up").cast("double")))
+    rows.orderBy(F.desc("down"), "iface").select(line.alias("value")).write.text(path)
+
+
 def read_log(spark: SparkSession, path: str, party: int) -> DataFrame:
     """(party, seq, value): the lines of one party's log in order. A log is one file of one process, read in one task."""
     return spark.read.text(path, wholetext=True).select(F.lit(party).alias("party"), F.posexplode(F.split("value", r"\r?\n")).alias("seq", "value"))

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import messages, metrics, prep, programs
+from graphloom.operators import gcn, messages, metrics, prep, programs
 from graphloom.plans.components import components
-from graphloom.plans.prepared import GraphError, PreparedGraph
+from graphloom.plans.engine import Engine, Hooks
+from graphloom.plans.prepared import GraphError, PreparedGraph, load
 from graphloom.plans.staging import shared_dir
 
 
@@ -96,3 +97,38 @@ def test_vertex_programs(spark):
     ranks = as_dict(programs.pagerank(g, 40, tolerance=1e-12))
     assert ranks[1][0] > ranks[0][0] == pytest.approx(ranks[2][0])
     assert ranks[5][0] == pytest.approx(0.15 / 6)
+
+
+def test_engine_checks_tiles_and_programs_and_calls_hooks(spark):
+    g = PreparedGraph(spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "vid long, tid long"), spark.createDataFrame([(0, 1, 1)], "src long, dst long, weight long"), 2)
+    seen = []
+    hooks = Hooks(before=seen.append, after=lambda name, df: df.withColumn("by", F.lit(name)), end=lambda found: seen.append(len(found)))
+    e = Engine(g, hooks=hooks).add("in", lambda g: g.in_degree).add("gone", lambda g: g.parts).remove("gone")
+    e.tiles = [1]
+    assert [tuple(r) for r in e.run()["in"].collect()] == [(1, 1, "in")] and seen == ["in", 1] and e.programs == ["in"]
+    for wrong in ([1, 0], [0, 0], [2]):
+        with pytest.raises(GraphError):
+            e.tiles = wrong
+    with pytest.raises(GraphError):
+        e.add("in", lambda g: g.parts)
+
+
+def test_a_stored_preparation_is_read_not_computed(spark, tmp_path):
+    g = PreparedGraph(spark.createDataFrame([(0, 0), (1, 1)], "vid long, tid long"), spark.createDataFrame([(0, 1, 1)], "src long, dst long, weight long"), 2)
+    g.save(str(tmp_path / "p"))
+    back = load(spark, str(tmp_path / "p"))
+    assert back.tiles == 2 and back.vertices.columns == ["vid", "tid"]
+    for name in ("in_degree", "out_degree", "border", "mirrors"):
+        assert sorted(getattr(back, name).collect()) == sorted(getattr(g, name).collect())
+    assert "Aggregate" not in back.in_degree._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_training_log_has_every_epoch(spark, tmp_path):
+    g = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (8, 9)], n=10)
+    config = gcn.GcnConfig(input_dim=2, hidden_dim=2, num_labels=2)
+    path = str(tmp_path / "log")
+    gcn.train_log(g, config, 1, path)
+    found = {(r["epoch"], r["tid"], r["metric"]): r["value"] for r in spark.read.parquet(path).collect()}
+    assert {k[0] for k in found} == {0, 1} and len(found) == 2 * 2 * 8
+    for r in metrics.cross_entropy(gcn.predict(g, config.weights()), g).collect():
+        assert found[0, r["tid"], "cross_entropy"] == pytest.approx(r["loss"])

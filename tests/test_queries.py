@@ -7,7 +7,8 @@ from graphloom import oracles, queries
 from tests.oracle import assert_same, connection
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["degree_in", "border_vertices", "tile_stats", "block_partition", "gcn_propagate", "gather_masked", "gcn_inference", "grad_w0_optimized", "grad_w0_original", "grad_w1_original", "grad_w0_delayed", "grad_w1_delayed", "weight_average", "gcn_forward_original", "share_linear_sum", "sssp_parent", "connected_components", "log_parse", "mapped_degrees", "accuracy_log", "integer_functions"]
+NAMES = ["degree_in", "border_vertices", "tile_stats", "block_partition", "gcn_propagate", "gather_masked", "gcn_inference", "grad_w0_optimized", "grad_w0_original", "grad_w1_original", "grad_w0_delayed", "grad_w1_delayed", "weight_average", "gcn_forward_original", "share_linear_sum", "sssp_parent", "connected_components", "log_parse", "mapped_degrees", "accuracy_log", "integer_functions",
+         "engine_programs", "prepared_resume", "edges_dealt", "degree_bump_propagate", "vector_program", "pair_reveal", "accuracy_per_epoch", "log_first_matches", "traffic_table", "traffic_by_party"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
