@@ -83,7 +83,16 @@ def previous_party(t: Column, parties: int) -> Column:
 
 
 def megabytes(n: Column) -> Column:
-    return F.format_string("%.2fMB", n / F.lit(1048576.0))
+    """Bytes as text in MB with two decimals, null for null; the double's exact value is rounded, ties to the even digit, as C's printf does.
+
+    ``format_string`` rounds the double's shortest text and ties up; it writes only 2 ** 63 MB and more, and NaN.
+    """
+    x = n / F.lit(1048576.0)
+    size, negative = F.abs(x), (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
+    # the fraction alone keeps all its digits in the text; the whole part is exact as a long
+    cents = F.call_function("format_number", size - F.floor(size), F.lit("0.00")).cast("decimal(3,2)")
+    exact = F.concat(F.when(negative, "-").otherwise(""), (F.floor(size).cast("decimal(19,0)") + cents).cast("string"), F.lit("MB"))
+    return F.when(size < 2.0**63, exact).when(x.isNotNull(), F.format_string("%.2fMB", x))
 
 
 def uniform(seed: int, low: float, high: float) -> Column:

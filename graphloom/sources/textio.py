@@ -95,7 +95,8 @@ def write_result(values: DataFrame, path: str, value: str) -> None:
 
 def write_traffic(rows: DataFrame, path: str) -> None:
     """Lines ``party interface download upload``, in MB with two decimals, the largest download first by its number. ``rows`` has party, iface and the bytes down and up."""
-    line = F.concat_ws(" ", F.col("party").cast("string"), "iface", megabytes(F.col("down").cast("double")), megabytes(F.col("up").cast("double")))
+    size = lambda c: F.coalesce(megabytes(F.col(c).cast("double")), F.lit("nullMB"))  # noqa: E731  concat_ws would drop a null and move its neighbour
+    line = F.concat_ws(" ", F.col("party").cast("string"), "iface", size("down"), size("up"))
     rows.orderBy(F.desc("down"), "iface").select(line.alias("value")).write.text(path)
 
 

@@ -50,6 +50,14 @@ def test_traffic_sorts_by_number(spark):
     assert runlog.traffic_per_party(got, 2, 1).first()[0] == pytest.approx(22.75 / 2 / 1024)
 
 
+def test_traffic_without_a_size_keeps_its_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "veth0", 1618083840, None), (1, "veth1", None, 5)], "party long, iface string, down long, up long")
+    textio.write_traffic(rows, str(tmp_path / "t"))
+    lines = spark.read.text(str(tmp_path / "t"))
+    assert sorted(r.value for r in lines.collect()) == ["0 veth0 1543.12MB nullMB", "1 veth1 nullMB 0.00MB"]
+    assert [tuple(r) for r in runlog.parse_traffic(lines).collect()] == [("veth0", 1543.12, None)]
+
+
 def test_streaming_degrees(spark, tmp_path):
     from graphloom.streaming.degrees import edge_stream, streaming_degrees
 
